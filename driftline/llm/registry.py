@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from driftline.llm import lengths, line_dedup, quality
+from driftline.llm import language_id, lengths, line_dedup, pieces, quality
 
 QUERIES = {
     "op1_quality_divergence": quality.query,
     "op2_length_histogram": lengths.query,
+    "op3_sentencepiece_viterbi": pieces.query,
     "op5_line_dedup": line_dedup.query,
+    "op9_language_bitmask": language_id.query,
 }
 
 ORACLE_SQL = {
