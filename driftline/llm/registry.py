@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from driftline.llm import language_id, lengths, line_dedup, pieces, quality
+from driftline.llm import crf, language_id, lengths, line_dedup, pieces, quality
 
 QUERIES = {
     "op1_quality_divergence": quality.query,
     "op2_length_histogram": lengths.query,
     "op3_sentencepiece_viterbi": pieces.query,
+    "op4_pii_crf": crf.query,
     "op5_line_dedup": line_dedup.query,
     "op9_language_bitmask": language_id.query,
 }
 
 ORACLE_SQL = {
+    "op4_pii_crf": crf.query,
     "op5_line_dedup": line_dedup.ORACLE,
 }
