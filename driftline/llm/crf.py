@@ -93,7 +93,7 @@ def features(token: str) -> tuple[str, ...]:
 # --- the labelled table -----------------------------------------------------
 
 
-def training_rows(rows: int = 450, seed: int = 7) -> list[tuple[list[str], list[str]]]:
+def training_rows(rows: int = 600, seed: int = 7) -> list[tuple[list[str], list[str]]]:
     """Labelled token sequences: the kinds in common formats, and look-alikes.
 
     ``rows`` bounds the table.
@@ -213,7 +213,7 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
         return np.log(np.exp(x - m).sum(axis=axis)) + m.squeeze(axis)
 
 
-def fit(rows: list[tuple[list[str], list[str]]], epochs: int = 45, rate: float = 0.2, l2: float = 2e-4) -> Model:
+def fit(rows: list[tuple[list[str], list[str]]], epochs: int = 60, rate: float = 0.2, l2: float = 2e-4) -> Model:
     """Maximum likelihood by full-batch Adam on forward-backward gradients."""
     index: dict[str, int] = {}
     for tokens, _ in rows:
@@ -302,7 +302,7 @@ def _pause(model: Model) -> int:
 
 
 @lru_cache(maxsize=2)
-def trained(rows: int = 450, seed: int = 7) -> Model:
+def trained(rows: int = 600, seed: int = 7) -> Model:
     return fit(training_rows(rows, seed))
 
 
