@@ -39,6 +39,7 @@ from driftline.llm.common import PIECE_MODEL, read
 
 SHORT = 48  # longest stretch that is remembered
 REMEMBERED = 400_000
+PART = 256  # characters of a longer stretch between looks at what is final
 SPACE = "▁"
 
 
@@ -75,11 +76,15 @@ class PieceModel:
         self.singles = len(singles)
         self.ids = [self.id_of[t] for t in self.text]
         self._halves: dict[int, tuple[int, int]] = {}
-        self._fits: dict[int, bool] = {}
-        self.made = {t: r for t, r in self.rank.items() if r < self.singles or self.halves(r) != (r, r)}
-        self.longest: dict[str, int] = {}  # by the last two characters
-        for t in self.made:
-            self.longest[t[-2:]] = max(len(t), self.longest.get(t[-2:], 1))
+        self._fits: list[dict[int, bool]] = [{} for _ in self.text]  # by the second piece, then by the first
+        #: Pieces read backwards; the rank of a whole one is under 0.
+        self.backwards: dict = {}
+        for t, r in self.rank.items():
+            if r < self.singles or self.halves(r) != (r, r):  # others no merge makes
+                node = self.backwards
+                for c in reversed(t):
+                    node = node.setdefault(c, {})
+                node[0] = r
 
     def merge(self, symbols: list[str]) -> list[str]:
         """Plain BPE: the best-scored pair first, of equals the leftmost."""
@@ -120,10 +125,10 @@ class PieceModel:
         Both are taken apart in the reverse order of merging; if a merge across
         the seam would ever have come first, they don't.
         """
-        key = a << 20 | b
-        found = self._fits.get(key)
+        known = self._fits[b]
+        found = known.get(a)
         if found is None:
-            found = self._fits[key] = self._fits_now(a, b)
+            found = known[a] = self._fits_now(a, b)
         return found
 
     def _fits_now(self, a: int, b: int) -> bool:
@@ -153,104 +158,75 @@ class PieceModel:
                 else:
                     b = b2
 
-    def step(self, text: str, i: int, ends: dict[int, int], base: int = 0) -> int:
-        """Rank of the piece that ends before ``i`` and joins the path behind it; -1 for a character without one.
+    def extend(self, text: str, ends: list[int]) -> None:
+        """Carry the pass on to the end of ``text``.
 
-        ``ends[base + j]`` is the rank of the piece that ends at j (-1: a
-        character without one, -2: the start).
+        ``ends[i]`` is the rank of the piece that ends before i and joins the
+        path behind it (-1: a character without a piece, -2: the start).
         """
-        made, known = self.made, self._fits
-        for length in range(min(self.longest.get(text[i - 2 : i], 1) if i > 1 else 1, i), 0, -1):
-            r = made.get(text[i - length : i])
-            if r is not None:
-                before = ends.get(base + i - length)
-                if before is not None:
-                    if before < 0:
-                        return r
-                    fit = known.get(before << 20 | r)
-                    if fit or (fit is None and self.fits(before, r)):
-                        return r
-        return -1
-
-    def pass_over(self, stretch: str) -> dict[int, int]:
-        ends = {0: -2}
-        for i in range(1, len(stretch) + 1):
-            ends[i] = self.step(stretch, i, ends)
-        return ends
+        backwards, fits = self.backwards, self._fits
+        for i in range(len(ends), len(text) + 1):
+            node, j, found = backwards, i, []
+            while j:
+                j -= 1
+                node = node.get(text[j])
+                if node is None:
+                    break
+                if 0 in node:
+                    found.append((j, node[0]))
+            for j, r in reversed(found):  # the longest first; just one of them fits
+                before = ends[j]
+                if before < 0:
+                    break
+                fit = fits[r].get(before)
+                if fit is None:
+                    fit = self.fits(before, r)
+                if fit:
+                    break
+            else:
+                r = -1
+            ends.append(r)
 
     def fallback(self, char: str) -> list[int]:
         return [self.byte_id.get(b, self.unknown) for b in char.encode("utf-8", "surrogatepass")] if self.byte_id else [self.unknown]
 
 
 class Online:
-    """The pass over one stretch of text, fed character by character.
+    """The pass over one stretch of text, fed in parts.
 
-    Holds the last ``max_piece`` characters and the backpointers not yet final.
+    Holds backpointers from the last final boundary on, and as many characters.
     """
 
     def __init__(self, model: PieceModel):
-        self.m, self.at, self.tail = model, 0, ""
-        self.ends: dict[int, int] = {0: -2}
-        self.start: dict[int, int] = {}
-        self.char: dict[int, str] = {}
-        self.children: dict[int, int] = {0: 0}
-        self.root = 0
-
-    def _ids(self, i: int) -> list[int]:
-        return [self.m.ids[self.ends[i]]] if self.ends[i] >= 0 else self.m.fallback(self.char[i])
-
-    def _leave(self, i: int) -> None:
-        """Position i can't be continued any more; paths that end in it die."""
-        while i != self.root and not self.children[i]:
-            parent = self.start.pop(i)
-            del self.children[i]
-            self.char.pop(i, None)
-            self.ends.pop(i, None)
-            self.children[parent] -= 1
-            if parent > self.at - self.m.max_piece:
-                break
-            i = parent
+        self.m, self.text, self.ends = model, "", [-2]
 
-    def feed(self, chars: Iterable[str]) -> Iterator[int]:
+    def feed(self, part: str) -> list[int]:
+        """Ids that have become final."""
         m = self.m
-        for c in chars:
-            self.tail = (self.tail + c)[-m.max_piece :]
-            self.at += 1
-            base = self.at - len(self.tail)
-            r = m.step(self.tail, len(self.tail), self.ends, base)
-            length = len(m.text[r]) if r >= 0 else 1
-            self.ends[self.at], self.start[self.at], self.children[self.at] = r, self.at - length, 0
-            if r < 0:
-                self.char[self.at] = c
-            self.children[self.at - length] += 1
-            gone = self.at - m.max_piece
-            if gone >= 0 and gone in self.children:
-                self._leave(gone)
-            while self.root <= gone and self.children[self.root] == 1:  # all surviving paths go through one boundary
-                nxt = self._only_child()
-                if nxt is None:
-                    break
-                yield from self._ids(nxt)
-                self._settle(nxt)
-
-    def _only_child(self) -> int | None:
-        for i in range(self.root + 1, min(self.at, self.root + self.m.max_piece) + 1):
-            if self.start.get(i) == self.root:
-                return i
-        return None
-
-    def _settle(self, i: int) -> None:
-        old, self.root = self.root, i
-        del self.children[old]
-        self.ends.pop(old, None)
-        self.start.pop(i)
-        self.char.pop(i, None)
+        self.text += part
+        m.extend(self.text, self.ends)
+        last = len(self.text)
+        open_ends = set(range(max(0, last - m.max_piece + 1), last + 1))  # what can still be continued
+        while len(open_ends) > 1:  # go back along the latest path until all have met
+            latest = max(open_ends)
+            open_ends.remove(latest)
+            open_ends.add(latest - self._length(latest))
+        return self._commit(open_ends.pop())
 
     def finish(self) -> list[int]:
-        i, out = self.at, []
-        while i != self.root:
-            out.append(self._ids(i))
-            i = self.start[i]
+        return self._commit(len(self.text))
+
+    def _length(self, i: int) -> int:
+        return len(self.m.text[self.ends[i]]) if self.ends[i] >= 0 else 1
+
+    def _commit(self, boundary: int) -> list[int]:
+        out, i = [], boundary
+        while i:
+            out.append([self.m.ids[self.ends[i]]] if self.ends[i] >= 0 else self.m.fallback(self.text[i - 1]))
+            i -= self._length(i)
+        if boundary:
+            self.text = self.text[boundary:]
+            self.ends = self.ends[boundary:]
         return [x for ids in reversed(out) for x in ids]
 
 
@@ -266,8 +242,10 @@ class Encoder(dict):
         m = self.m
         if len(stretch) > SHORT:
             online = Online(m)
-            return (*online.feed(stretch), *online.finish())
-        ends = m.pass_over(stretch)
+            parts = [online.feed(stretch[i : i + PART]) for i in range(0, len(stretch), PART)]
+            return tuple(chain(*parts, online.finish()))
+        ends = [-2]
+        m.extend(stretch, ends)
         out, i = [], len(stretch)
         while i:  # everything is within the window, whose paths all end here
             r = ends[i]
