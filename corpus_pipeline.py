@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftline.llm import common, line_dedup, quality
+from driftline.llm import common, crf, line_dedup, near_dups, packing, quality
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,9 +23,28 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return line_dedup.drop_repeated_lines(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return near_dups.one_of_each_group(docs)
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, with personal data replaced by its kind."""
+    return crf.mask_documents(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document goes: shard, bin and slot."""
+    limits = packing.Limits(tokens=4096, segments=32, loss_tokens=4096)
+    return packing.pack(packing.document_pieces(docs, limits), limits)
+
+
 STAGES = [
     ("quality rules", quality_rules),
     ("line dedup", drop_lines),
+    ("near duplicates", near_duplicates),
+    ("personal data", mask_personal_data),
+    ("packing", pack_sequences),
 ]
 
 #: Trained decoding, approximate search and encoding have no SQL.
