@@ -72,7 +72,8 @@ def children(b: bytes, at: int, end: int, stop_at: set[int] = frozenset()) -> It
         size, p, unknown = vint(b, p)
         stop = end if unknown else p + size
         if stop > end:
-            yield ident, at, p, end
+            if ident in (SEGMENT, GROUP):  # what is whole within it still counts
+                yield ident, at, p, end
             raise Damaged(f"element at {at} is cut off")
         yield ident, at, p, stop
         at = stop
