@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from driftline.operators import workflow as w
 from driftline.sources.tables import MONITORS, TASKS, monitors, table, tasks
 
-NOW = F.lit("1998-06-01").cast("timestamp_ntz")
+def now():
+    return F.lit("1998-06-01").cast("timestamp_ntz")
+
 SQL_NOW = "TIMESTAMP '1998-06-01'"
 Q, S = {}, {}
 
@@ -29,7 +31,7 @@ WHERE m.active AND NOT EXISTS (SELECT 1 FROM {TASKS} z WHERE z.monitor_id = m.id
  AND coalesce(t.p, m.created_at) + to_seconds(m.interval_sec) <= {SQL_NOW}
 ORDER BY m.created_at, m.id LIMIT 200""")
 def due(spark, d):
-    return w.due(monitors(spark, d), tasks(spark, d), NOW).select("id", "name")
+    return w.due(monitors(spark, d), tasks(spark, d), now()).select("id", "name")
 
 
 @query("tasks_without_active", f"""
@@ -41,7 +43,7 @@ def without_active(spark, d):
 @query("claim_oldest_tasks", f"""
 SELECT id, monitor_id, 'running' AS status FROM {TASKS} WHERE status = 'pending' ORDER BY planned_at, id LIMIT 200""")
 def claim(spark, d):
-    return w.claim(tasks(spark, d), 200, NOW).select("id", "monitor_id", "status")
+    return w.claim(tasks(spark, d), 200, now()).select("id", "monitor_id", "status")
 
 
 @query("tasks_by_status", f"""
@@ -113,7 +115,7 @@ SELECT t.id, CASE WHEN m.id IS NOT NULL AND t.status IN ('pending', 'running') T
  epoch_us(CASE WHEN m.id IS NOT NULL AND t.status IN ('pending', 'running') THEN coalesce(t.finished_at, {SQL_NOW}) ELSE t.finished_at END) // 1000000 AS finished
 FROM {TASKS} t LEFT JOIN (SELECT id FROM {MONITORS} WHERE user_id = 3) m ON m.id = t.monitor_id""")
 def cancel(spark, d):
-    t = w.cancel(tasks(spark, d), monitors(spark, d).where("user_id = 3"), NOW)
+    t = w.cancel(tasks(spark, d), monitors(spark, d).where("user_id = 3"), now())
     return t.select("id", "status", F.unix_seconds(F.col("finished_at").cast("timestamp")).alias("finished"))
 
 
@@ -175,7 +177,7 @@ def notifications(spark, d):
 SELECT t.id, CASE WHEN t.id % 7 = 0 THEN 'sent' ELSE t.status END AS status FROM {TASKS} t""")
 def mark_sent(spark, d):
     t = tasks(spark, d).select("id", "status", F.col("finished_at").alias("sent_at"))
-    return w.mark_sent(t, t.where("id % 7 = 0").select("id"), NOW).select("id", "status")
+    return w.mark_sent(t, t.where("id % 7 = 0").select("id"), now()).select("id", "status")
 
 
 @query("monitor_patch", f"""
@@ -221,7 +223,7 @@ def lookup(spark, d):
 SELECT s_suppkey AS id, coalesce(CASE WHEN s_suppkey % 2 = 0 THEN 60 END, 3600) AS interval_sec, TRUE AS active FROM supplier WHERE s_suppkey % 3 <> 0""")
 def create(spark, d):
     r = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.when(F.col("s_suppkey") % 3 == 0, " ").otherwise("https://x").alias("url"), F.when(F.col("s_suppkey") % 2 == 0, 60).alias("interval_sec"), F.lit(None).cast("boolean").alias("active"))
-    return w.create_monitors(r, NOW).select("id", "interval_sec", "active")
+    return w.create_monitors(r, now()).select("id", "interval_sec", "active")
 
 
 @query("plugin_upgrade_or_insert", """
