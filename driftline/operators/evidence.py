@@ -217,7 +217,7 @@ def select_paragraph_blocks(blocks: DataFrame, key: str, most: int = 120) -> Dat
 
 def select_news(lines: DataFrame, key: str, chunk: str, order: str) -> DataFrame:
     """Up to 8 lines of the two chunks densest in news lines (a line 1, a header 0.6)."""
-    weigh = lines.groupBy(key, chunk).agg(F.sum(F.when(F.col("kind") == "headline", 0.6).otherwise(1.0)).alias("w"))
+    weigh = lines.groupBy(key, chunk).agg(F.round(F.sum(F.when(F.col("kind") == "headline", 0.6).otherwise(1.0)), 6).alias("w"))
     dense = weigh.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy(F.col("w").desc(), chunk))).where("n <= 2").select(key, chunk)
     return lines.join(dense, [key, chunk]).withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(chunk, order))).where("rank <= 8")
 
