@@ -15,6 +15,7 @@ from driftline.llm import common, crf, line_dedup, near_dups, packing, quality
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose histograms lie near their language's."""
+    common.bounded_batches(spark)
     return quality.keep_good(docs)
 
 
