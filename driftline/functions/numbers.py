@@ -109,3 +109,26 @@ def duration_rounded(start: Column, end: Column) -> Column:
 def duration_floored(start: Column, end: Column) -> Column:
     seconds = F.floor((F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / 1e6)
     return F.greatest(F.lit(0), seconds).cast("bigint")
+
+
+def price_like(text: Column, value: Column, amount: Column) -> Column:
+    """A number given as text, or as a value or an amount."""
+    return F.coalesce(value, amount, number_maybe(text))
+
+
+def number_or_null(x: Column) -> Column:
+    return F.coalesce(x.try_cast("double"), number_maybe(x))
+
+
+def token_norm(x: Column) -> Column:
+    return F.translate(x, " .", "")
+
+
+def iso(x: Column) -> Column:
+    """ISO text of a time, null if it isn't one."""
+    return F.date_format(F.try_to_timestamp(x), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def still_valid(expires: Column, used: Column, now: Column) -> Column:
+    """A one-time token's window: not expired, not used."""
+    return (expires > now) & used.isNull()

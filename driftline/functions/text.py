@@ -249,3 +249,39 @@ def base64_body(x: Column) -> Column:
 
 def image_kind(x: Column) -> Column:
     return F.when(F.startswith(x, F.lit("iVBOR")), "png").when(F.startswith(x, F.lit("/9j/")), "jpg").otherwise("bin")
+
+
+def sanitise_raw(x: Column) -> Column:
+    """Tags, comments, long base64, state blobs, addresses and calls out of raw text."""
+    for pattern in (r"(?s)<!--.*?-->", r"(?is)<(?:script|style|noscript|template)[^>]*>.*?</(?:script|style|noscript|template)>", r"(?s)<[^>]+>", r"[A-Za-z0-9+/=]{250,}", r"(?i)(?:window\.)?__(?:NUXT|NEXT_DATA)__\s*=?\s*\S*", r"https?://\S+", r"(?:^|\s)/api/\S+"):
+        x = F.regexp_replace(x, pattern, " ")
+    return F.trim(x)
+
+
+def split_candidates(x: Column) -> Column:
+    """Lines; with fewer than two newlines, parts at bullets, pipes, tabs and, if long, sentences."""
+    parts = F.when(F.size(F.split(x, "\n")) > 2, F.split(x, "\n")).when(F.length(x) >= 450, F.split(x, r"\s*[•|\t]\s*|(?<=[.!?])\s+")).otherwise(F.split(x, r"\s*[•|\t]\s*"))
+    return F.filter(F.transform(parts, lambda s_: F.trim(s_)), lambda t: t != "")
+
+
+def render_marked(lines: Column, paras: Column) -> Column:
+    """Lines with their paragraph's mark at the first line of each."""
+    mark = lambda x, i: F.when((F.get(paras, i).isNotNull()) & (F.array_position(paras, F.get(paras, i)) == i + 1), F.concat(para_tag(F.get(paras, i)), F.lit(" "), x)).otherwise(x)
+    return F.array_join(F.transform(lines, mark), "\n")
+
+
+# --- semi-structured ---
+
+
+def json_lenient(x: Column) -> Column:
+    """Variant of JSON text: as it is, without code fences, or its outermost braces."""
+    bare = F.regexp_replace(x, r"(?s)^\s*```[a-z]*\s*|\s*```\s*$", "")
+    return F.coalesce(F.try_parse_json(x), F.try_parse_json(bare), F.try_parse_json(F.nullif(F.regexp_extract(x, r"(?s)\{.*\}", 0), F.lit(""))))
+
+
+DECISION = "important boolean, category string, importance_reason string, evidence_used array<string>, short_title string, short_description string"
+
+
+def parse_decision(x: Column) -> Column:
+    """A judge's answer as a struct; what is missing or malformed is null."""
+    return F.from_json(F.coalesce(F.nullif(F.regexp_extract(x, r"(?s)\{.*\}", 0), F.lit("")), x), DECISION)

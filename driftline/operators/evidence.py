@@ -238,3 +238,34 @@ def quotes_to_ids(used: DataFrame, pool: DataFrame, key: str) -> DataFrame:
     p = pool.select(F.col(key).alias("__k"), F.col("id"), norm(F.col("quote")).alias("k2"))
     j = u.join(p, (F.col(key) == F.col("__k")) & (F.col("k") == F.col("k2")))
     return j.groupBy(key).agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"])).alias("ids"))
+
+
+def extract(chunks: DataFrame, prompts: DataFrame, key: str) -> DataFrame:
+    """Evidence of every key: key, selector, chunk, rank, quote.
+
+    chunks: key, chunk, text; prompts: key, prompt.  A prompt that names
+    paragraphs gets their blocks; one that asks for a ranking, the ranked items;
+    one for reviews, rating and count quotes; others the typed candidates, by
+    priority, four of a chunk and ten in all.
+    """
+    p = prompts.select(F.col(key).alias("__k"), "prompt")
+    wants = intents(F.col("prompt"))
+    named = paragraph_selection(F.col("prompt"))
+    p = p.select("__k", named.alias("named"), rank_limit(F.col("prompt")).alias("rank_most"), keywords(F.col("prompt")).alias("kws"), *[c.alias(f"w_{n}") for n, c in wants.items()])
+    kind = F.when(F.size("named") > 0, "paragraphs").when(F.col("w_ranking"), "ranking").when(F.col("w_reviews"), "reviews").otherwise("typed")
+    j = chunks.join(p.withColumn("selector", kind), F.col(key) == F.col("__k")).drop("__k")
+    score = chunk_score(F.col("text"), F.col("kws"), {n: F.col(f"w_{n}") for n in wants})
+    j = top_chunks(j.withColumn("score", score), key, "score", "chunk")
+    out = ["selector", "chunk", "rank", "quote"]
+
+    paras = j.where("selector = 'paragraphs'").select(key, "chunk", F.explode(sets.paragraph_blocks(F.col("text"), F.col("named"))).alias("block"))
+    paras = paras.withColumn("para", F.regexp_extract("block", r"^\[P([0-9]+)\]", 1).try_cast("int"))
+    paras = select_paragraph_blocks(paras, key).select(key, F.lit("paragraphs").alias("selector"), F.lit(None).cast("int").alias("chunk"), F.col("para").alias("rank"), F.trim("block").alias("quote"))
+
+    ranked = j.where("selector = 'ranking'").select(key, "chunk", F.explode(rank_items(F.col("text"), F.coalesce("rank_most", F.lit(10)))).alias("x")).select(key, "chunk", "x.rank", "x.quote")
+    ranked = ranked.withColumn("__n", F.row_number().over(Window.partitionBy(key, "rank").orderBy("chunk"))).where("__n = 1").select(key, F.lit("ranking").alias("selector"), "chunk", "rank", "quote")
+
+    cands = j.where("selector in ('reviews', 'typed')").select(key, "selector", "chunk", F.explode(candidates(F.col("text"), F.col("kws"))).alias("c")).select(key, "selector", "chunk", "c.idx", "c.kind", "c.quote")
+    reviews = select_reviews(cands.where("selector = 'reviews'"), key, "chunk").select(key, *out)
+    typed = two_level_top(cands.where("selector = 'typed'").withColumn("p", priority(F.col("kind"))), key, "chunk", F.col("p"), F.col("chunk"), F.col("idx")).select(key, *out)
+    return paras.unionByName(ranked.select(key, *out)).unionByName(reviews).unionByName(typed)

@@ -434,3 +434,49 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -
         predicates.content_type(F.coalesce("ld.kind", F.lit("")), text).alias("content_type"),
         predicates.block_reason(F.lit(200), F.col("html")).alias("block_reason"),
     )
+
+
+def visible_text(html: str | None) -> str:
+    """Text nodes of three characters and more, code and encoded data aside."""
+    if not html:
+        return ""
+    out, stack = [], [Tree(html).root]
+    while stack:
+        n = stack.pop()
+        if isinstance(n, str):
+            s = inline(n)
+            if len(s) >= 3 and not re.search(r"[{};]\s*$|=>|function\s*\(|[A-Za-z0-9+/]{120,}", s):
+                out.append(s)
+        elif n.tag not in SKIP and (n.parent is None or not hidden(n)):
+            stack.extend(reversed(n.parts))
+    return "\n".join(out)
+
+
+def walker(html: Column) -> Column:
+    return _udf(visible_text, "string")(html)
+
+
+def images(html: Column) -> Column:
+    """Addresses of preview images in meta tags and links."""
+    link = F.regexp_extract_all(html, F.lit(r"(?is)<link[^>]*rel=[\"']image_src[\"'][^>]*href=[\"']([^\"']*)[\"']"), F.lit(1))
+    named = F.filter(F.array(meta(html, "og:image"), meta(html, "twitter:image")), lambda x: x.isNotNull())
+    return F.array_distinct(F.concat(named, link))
+
+
+def meta_price(html: Column) -> Column:
+    value, unit = meta(html, "product:price:amount", "price"), meta(html, "product:price:currency", "priceCurrency")
+    return F.when(value.isNotNull(), F.struct(numbers.number_maybe(value).alias("value"), F.coalesce(unit, numbers.currency(value)).alias("currency")))
+
+
+def plain_text(html: Column, most: int = 20_000) -> Column:
+    return F.left(t.squeeze_strict(t.strip_tags(F.coalesce(F.nullif(F.regexp_extract(html, r"(?is)<body[^>]*>(.*)</body>", 1), F.lit("")), html))), F.lit(most))
+
+
+def extract_any(pages: DataFrame, status: Column) -> DataFrame:
+    """Blocked pages as such, with no text; the others extracted, their text cleaned to lines."""
+    why = predicates.block_reason(status, F.col("html"))
+    p = pages.withColumn("why", why)
+    ok = extract(p.where("why is null").drop("why"))
+    ok = ok.withColumn("clean_lines", F.filter(F.transform(F.split("text", "\n"), lambda s_: F.trim(s_)), lambda x: (x != "") & ~predicates.junk_line(x)))
+    blocked = p.where("why is not null").select("page_id", F.lit("blocked").alias("extractor"), F.col("why").alias("block_reason"))
+    return ok.unionByName(blocked, allowMissingColumns=True)

@@ -300,3 +300,67 @@ def pair_snippets(before: str | None, after: str | None, around: int = 140) -> l
 
 def snippets(before: Column, after: Column) -> Column:
     return _udf(pair_snippets, "array<struct<before: string, after: string>>")(before, after)
+
+
+def split_lines(text: str | None, width: int = DEFAULT.wrap_at) -> list[str]:
+    """Lines of text without newlines: parts at bullets, double spaces and pipes, wrapped softly.
+
+    Continued list items keep their indent.
+    """
+    import re
+
+    if not text:
+        return []
+    raw = text.split("\n") if "\n" in text else re.split(r"\s{2,}|\s*\|\s*|\s+(?=[•▪]\s)", text)
+    out: list[str] = []
+    for line in raw:
+        pad = " " * len(m.group()) if (m := re.match(r"\s*(?:[-*•▪]|\d{1,3}[.)])\s+", line)) else ""
+        first = True
+        while len(line) > width:
+            at = line.rfind(" ", int(0.6 * width), width)
+            at = at if at > 0 else width
+            out.append(line[:at].rstrip() if first else pad + line[:at].strip())
+            line, first = line[at:].lstrip(), False
+        if line.strip():
+            out.append(line.rstrip() if first else pad + line.strip())
+    return out
+
+
+def soft_lines(text: Column) -> Column:
+    return _udf(split_lines, "array<string>")(text)
+
+
+def clean_ocr(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, pos, line: the recognised-text pipeline.
+
+    Normalise, join hyphens, split; controls, glyphs and spacing; junk; repeats
+    within the window; then boilerplate and exact repeats.
+    """
+    x = t.normalise_newlines(t.nfkc(F.col(text)))
+    d = docs.select(key, t.merge_hyphens(x).alias("text"))
+    d = d.select(key, p.latin_dominant(F.col("text")).alias("latin"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))  # so that latin is found once a document
+    one = lambda line: t.squeeze(t.fix_spacing(t.strip_controls(line)))
+    d = d.select(key, "pos", one(F.when(F.col("latin"), t.strip_icons(F.col("line"))).otherwise(F.col("line"))).alias("line"))
+    d = d.where((F.col("line") != "") & ~p.junk_line_ocr(F.col("line")))
+    d = d.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("ls"))
+    d = d.select(key, dedupe_sliding(F.transform("ls", lambda x: x["line"])).alias("ls"))
+    lines_ = d.select(key, F.posexplode("ls").alias("pos", "line"))
+    return dedupe_exact(drop_boilerplate(lines_, key), key)
+
+
+def uniq_ranges(ranges: list[tuple[int, int]] | None, n: int) -> list[tuple[int, int]]:
+    """Ranges within [0, n) that don't overlap an earlier one."""
+    out: list[tuple[int, int]] = []
+    for a, b in ranges or []:
+        a, b = max(0, a), min(n, b)
+        if a < b and all(b <= x or a >= y for x, y in out):
+            out.append((a, b))
+    return out
+
+
+def common_affix(a: str, b: str) -> tuple[int, int]:
+    """Lengths of the common start and, in what is left, the common end."""
+    most = min(len(a), len(b))
+    pre = next((i for i in range(most) if a[i] != b[i]), most)
+    post = next((i for i in range(most - pre) if a[len(a) - 1 - i] != b[len(b) - 1 - i]), most - pre)
+    return pre, post

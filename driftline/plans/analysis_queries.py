@@ -174,3 +174,79 @@ def template_diff(spark, d):
     v = c.groupBy("conv_id", (F.col("turn") % 4).alias("id"), (F.col("turn") % 2).alias("ver")).agg(F.min("text").alias("text"))
     j = diffs.chunk_full_outer(v.where("ver = 0"), v.where("ver = 1").withColumn("id", F.col("id") - 1), ["conv_id", "id"])
     return diffs.template_diff_metrics(j, "conv_id")
+
+
+@query("json_lenient", """
+SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events""")
+def lenient(spark, d):
+    raw = F.when(F.col("event_id") % 3 == 0, F.col("props")).when(F.col("event_id") % 3 == 1, F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).otherwise(F.concat(F.lit("Here: "), "props", F.lit(" .")))
+    return table(spark, d, "events").select("event_id", F.try_variant_get(t.json_lenient(raw), "$.k", "bigint").alias("k"))
+
+
+@query("judge_answer", """
+SELECT event_id, event_id % 2 = 0 AS important, event_type AS category FROM events WHERE event_id % 5 > 0""")
+def judge(spark, d):
+    raw = F.concat(F.lit('Answer: {"important":'), F.when(F.col("event_id") % 2 == 0, "true").otherwise("false"), F.lit(',"category":"'), "event_type", F.lit('"}'))
+    x = table(spark, d, "events").where("event_id % 5 > 0").select("event_id", t.parse_decision(raw).alias("x"))
+    return x.select("event_id", "x.important", "x.category")
+
+
+@query("numbers_and_times", """
+SELECT event_id, replace(replace(value::VARCHAR, ' ', ''), '.', '') AS token, strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS iso, ts + INTERVAL 60 MINUTE > TIMESTAMP '2024-01-15' AND event_id % 2 = 0 AS valid FROM events""")
+def times(spark, d):
+    from driftline.functions import numbers
+
+    e = table(spark, d, "events")
+    used = F.when(F.col("event_id") % 2 == 1, F.col("ts"))
+    valid = numbers.still_valid(F.col("ts") + F.expr("interval 60 minutes"), used, F.lit("2024-01-15").cast("timestamp_ntz"))
+    return e.select("event_id", numbers.token_norm(F.col("value").cast("string")).alias("token"), numbers.iso(F.col("ts").cast("string")).alias("iso"), valid.alias("valid"))
+
+
+@query("clean_lines_ocr")
+def clean_ocr(spark, d):
+    from driftline.operators.lines import clean_ocr as run
+
+    return run(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "pos", F.sha1("line").alias("line_sha1"))
+
+
+@query("render_marked", r"""
+WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), x AS (SELECT doc_id, unnest(range(len(ls))) AS i, unnest(ls) AS line FROM l)
+SELECT doc_id, sha1(string_agg(CASE WHEN i % 3 = 0 THEN '[P' || lpad((i // 3 + 1)::VARCHAR, greatest(3, length((i // 3 + 1)::VARCHAR))::INTEGER, '0') || '] ' ELSE '' END || line, chr(10) ORDER BY i)) AS text_sha1 FROM x GROUP BY doc_id""")
+def marked(spark, d):
+    ls = F.split("text", "\n")
+    paras = F.transform(ls, lambda x, i: (F.floor(i / 3) + 1).cast("int"))
+    return table(spark, d, "documents").select("doc_id", F.sha1(t.render_marked(ls, paras)).alias("text_sha1"))
+
+
+@query("html_visible_walk")
+def walk(spark, d):
+    from driftline.operators import html
+
+    p = table(spark, d, "pages")
+    return p.select("page_id", F.sha1(html.walker(F.col("html"))).alias("text_sha1"), F.size(html.images(F.col("html"))).alias("images"), html.meta_price(F.col("html")).alias("price"), F.length(html.plain_text(F.col("html"))).alias("plain"))
+
+
+@query("extract_or_blocked")
+def extracted(spark, d):
+    from driftline.operators import html
+
+    x = html.extract_any(table(spark, d, "pages"), F.when(F.col("page_id") % 10 == 0, 403).otherwise(200))
+    return x.select("page_id", "extractor", "block_reason", F.size("clean_lines").alias("lines"))
+
+
+@query("evidence_extract")
+def evidence_extract(spark, d):
+    """Evidence of conversations under prompts of every kind."""
+    c = table(spark, d, "conversations")
+    chunks = c.select("conv_id", F.col("turn").cast("int").alias("chunk"), F.concat(F.lit("[P001] "), "text", F.lit("\n- #1 first\n- #2 second\n4,5/5 (12 opinii) 10 zł")).alias("text"))
+    k = F.col("conv_id") % 4
+    prompts = c.select("conv_id").distinct().select("conv_id", F.when(k == 0, "paragraph 1").when(k == 1, "top 1 ranking").when(k == 2, "reviews only").otherwise("price changes").alias("prompt"))
+    return evidence.extract(chunks, prompts, "conv_id")
+
+
+@query("split_and_wrap")
+def wrap(spark, d):
+    from driftline.operators import lines as ln
+
+    x = F.left("text", F.lit(4000))
+    return table(spark, d, "documents").select("doc_id", F.size(ln.soft_lines(x)).alias("soft"), F.size(ln.wrap_single(F.replace(x, F.lit("\n"), F.lit(" ")))).alias("wrapped"), F.size(ln.cut_long_lines(F.split("text", "\n"))).alias("cut"), F.length(ln.without_json_blobs(F.col("text"))).alias("chars"), F.size(t.split_candidates(x)).alias("candidates"), F.length(t.sanitise_raw(F.col("text"))).alias("raw"))
