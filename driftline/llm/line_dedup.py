@@ -4,7 +4,7 @@ Lines are hashed to 128 bits; the hashes are range-partitioned and sorted by
 (hash, document, position), and a streaming pass over each partition keeps the
 first occurrence of every hash.  What moves is hashes and positions, never text.
 A line that is in very many documents doesn't make a hot partition: each map
-task drops repeats within an Arrow batch before the exchange.
+task drops repeats among so many rows at a time before the exchange.
 
 A bitmap is run-length encoded: alternating run lengths, kept lines first, as in
 ``"3,1,2"`` for 3 kept, 1 dropped, 2 kept.
@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from driftline.llm.common import read
 
 MIN_CHARS = 16
+#: Rows among which a map task drops repeats.
+COMBINED = 1 << 16
 _KEY = "doc_id bigint, t1 bigint, t2 bigint"
 
 
@@ -63,17 +65,28 @@ _LINE = f"h1 bigint, h2 bigint, {_KEY}, pos int, n_lines int"
 
 
 def _first_of_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of equal hashes in a batch, the first by document and position."""
+    """Of equal hashes among some rows together, the first by document and position."""
+    held: list[pa.RecordBatch] = []
     for b in batches:
-        if b.num_rows:
-            h1, h2 = b.column("h1").to_numpy(), b.column("h2").to_numpy()
-            doc = b.column("doc_id")
-            known = doc.is_valid().to_numpy(zero_copy_only=False)
-            order = np.lexsort((b.column("pos").to_numpy(), b.column("t2").to_numpy(), b.column("t1").to_numpy(), doc.fill_null(0).to_numpy(), known, h2, h1))
-            s1, s2 = h1[order], h2[order]
-            first = np.ones(len(order), bool)
-            first[1:] = (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1])
-            yield b.take(pa.array(np.sort(order[first])))
+        held.append(b)
+        if sum(x.num_rows for x in held) >= COMBINED:
+            yield from _combined(held)
+            held = []
+    yield from _combined(held)
+
+
+def _combined(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    if not any(b.num_rows for b in held):
+        return
+    b = pa.Table.from_batches(held).combine_chunks()
+    h1, h2 = b.column("h1").to_numpy(), b.column("h2").to_numpy()
+    doc = b.column("doc_id")
+    known = doc.is_valid().to_numpy()
+    order = np.lexsort((b.column("pos").to_numpy(), b.column("t2").to_numpy(), b.column("t1").to_numpy(), doc.fill_null(0).to_numpy(), known, h2, h1))
+    s1, s2 = h1[order], h2[order]
+    first = np.ones(len(order), bool)
+    first[1:] = (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1])
+    yield from b.take(pa.array(np.sort(order[first]))).to_batches()
 
 
 def _first_of_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
