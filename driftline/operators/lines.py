@@ -338,12 +338,14 @@ def clean_ocr(docs: DataFrame, key: str, text: str) -> DataFrame:
     """
     x = t.normalise_newlines(t.nfkc(F.col(text)))
     d = docs.select(key, t.merge_hyphens(x).alias("text"))
-    d = d.select(key, p.latin_dominant(F.col("text")).alias("latin"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))  # so that latin is found once a document
+    d = d.select(key, p.latin_dominant(F.col("text")).alias("latin"), "text")  # before the lines are spread out: once a document
+    d = d.select(key, "latin", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     one = lambda line: t.squeeze(t.fix_spacing(t.strip_controls(line)))
     d = d.select(key, "pos", one(F.when(F.col("latin"), t.strip_icons(F.col("line"))).otherwise(F.col("line"))).alias("line"))
-    d = d.where((F.col("line") != "") & ~p.junk_line_ocr(F.col("line")))
     d = d.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("ls"))
-    d = d.select(key, dedupe_sliding(F.transform("ls", lambda x: x["line"])).alias("ls"))
+    # after the aggregate: a filter on the cleaned line would be pushed down and clean it over and over
+    good = F.filter(F.transform("ls", lambda x: x["line"]), lambda x: (x != "") & ~p.junk_line_ocr(x))
+    d = d.select(key, dedupe_sliding(good).alias("ls"))
     lines_ = d.select(key, F.posexplode("ls").alias("pos", "line"))
     return dedupe_exact(drop_boilerplate(lines_, key), key)
 
