@@ -136,6 +136,7 @@ def training_rows(rows: int = 600, seed: int = 7) -> list[tuple[list[str], list[
             lambda: f"\x00token = \"{hexa(40)}\"",
             lambda: f"\x00token = {hexa(40)}",
             lambda: f"AKIA{caps(16)}",
+            lambda: "AKIA" + low(16, 16).upper(),
             lambda: f"ghp_{low(6, 9)}{d(8)}{low(6, 9)}{d(8)}",
             lambda: f"sk-{low(8, 9)}{d(8)}{low(8, 9)}{d(6)}",
             lambda: hexa(40),
@@ -151,11 +152,11 @@ def training_rows(rows: int = 600, seed: int = 7) -> list[tuple[list[str], list[
     out = []
     for i in range(rows):
         tokens, tags = [], []
-        for _ in range(rng.randint(1, 3)):
-            for _ in range(rng.choice([0, 0, 1, 2, 4])):
+        for _ in range(rng.randint(1, 4)):
+            for _ in range(rng.choice([0, 0, 0, 1, 2, 4])):
                 tokens.append(word())
                 tags.append("O")
-            if rng.random() < 0.62:
+            if rng.random() < 0.68:
                 kind = KINDS[i % len(KINDS)] if rng.random() < 0.6 else rng.choice(KINDS)
                 text = rng.choice(personal[kind])()
                 if text[0] == "\x00":  # a name and a sign before the value
@@ -213,7 +214,7 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
         return np.log(np.exp(x - m).sum(axis=axis)) + m.squeeze(axis)
 
 
-def fit(rows: list[tuple[list[str], list[str]]], epochs: int = 60, rate: float = 0.2, l2: float = 2e-4) -> Model:
+def fit(rows: list[tuple[list[str], list[str]]], epochs: int = 60, rate: float = 0.2, l2: float = 1e-4) -> Model:
     """Maximum likelihood by full-batch Adam on forward-backward gradients."""
     index: dict[str, int] = {}
     for tokens, _ in rows:
