@@ -19,7 +19,7 @@ Defined results
   characters.  Texts of fewer than ``n`` words are one n-gram; texts without a
   word (null, empty) match nothing.
 * rows that agree in doc_id and words count as often as they occur; a null
-  doc_id is listed as null.
+  doc_id is listed as null, first.
 * very long texts are read whole; other columns are never read; an empty table
   gives an empty result.
 """
@@ -171,7 +171,7 @@ def signatures(docs: DataFrame, s: Settings) -> DataFrame:
 
 
 def distinct_texts(docs: DataFrame, s: Settings) -> DataFrame:
-    """s1, s2, signature, members (sorted doc_ids, null last) of each word sequence."""
+    """s1, s2, signature, members (sorted doc_ids, null first) of each word sequence."""
     g = signatures(docs, s).groupBy("s1", "s2").agg(F.first("signature").alias("signature"), F.collect_list(F.struct(F.col("doc_id").alias("id"))).alias("m"))
     members = F.transform(F.array_sort("m"), lambda x: x["id"])
     return g.select("s1", "s2", "signature", members.alias("members"))
@@ -287,32 +287,57 @@ def _sets(docs: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
     return found
 
 
-def jaccard_pairs(sets: list[np.ndarray], threshold: float, block: int = 512) -> Iterator[tuple[int, int, float]]:
-    """All pairs at the threshold or above, with their exact similarity."""
+def jaccard_pairs(sets: list[np.ndarray], threshold: float, split: int | None = None, block: int = 512) -> Iterator[tuple[int, int, float]]:
+    """All pairs at the threshold or above, with their exact similarity.
+
+    With ``split``, only pairs of one of the first ``split`` sets and one of the
+    others.  N-grams that are in the very same sets count together, as one
+    weighted column.
+    """
     n = len(sets)
     sizes = np.array([len(x) for x in sets])
-    if n == 2:
+    if n == 2 and split in (None, 1):
         both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
         if (j := both / (sizes.sum() - both)) >= threshold:
             yield 0, 1, j
         return
+    if n < 2:
+        return
     _, flat = np.unique(np.concatenate(sets), return_inverse=True)
     rows = np.repeat(np.arange(n), sizes)
     occurs = np.bincount(flat)
-    kept = occurs[flat] > 1  # an n-gram of one text is in no intersection
-    rows, flat = rows[kept], (np.cumsum(occurs > 1) - 1)[flat[kept]]
-    wide = int((occurs > 1).sum())
+    kept = occurs[flat] > 1  # an n-gram of one set is in no intersection
+    rows, flat = rows[kept], flat[kept]
+    order = np.argsort(flat, kind="stable")
+    rows, flat = rows[order], flat[order]
+    if len(flat):
+        marks = np.random.default_rng(5).integers(0, 1 << 64, (n, 2), dtype=np.uint64)  # 128 bits tell sets of rows apart
+        starts = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+        who = np.stack([np.add.reduceat(marks[rows, k], starts) for k in range(2)], axis=1)
+        _, first, column, weight = np.unique(who, axis=0, return_index=True, return_inverse=True, return_counts=True)
+        spans = np.diff(np.append(starts, len(flat)))
+        take = np.isin(np.arange(len(starts)), first)
+        chosen = np.repeat(take, spans)
+        rows, flat = rows[chosen], np.repeat(column.ravel(), spans)[chosen]
+        order = np.argsort(rows, kind="stable")
+        rows, flat = rows[order], flat[order]
+    else:
+        weight = np.zeros(0)
+    wide, step = len(weight), 1 << 13
     bounds = np.searchsorted(rows, np.arange(n + 1))
-    for i in range(0, n, block):
-        for k in range(i, n, block):
-            a, b = min(i + block, n), min(k + block, n)
+    lefts = range(0, n if split is None else split, block)
+    for i in lefts:
+        a = min(i + block, n if split is None else split)
+        for k in range(i if split is None else split, n, block):
+            b = min(k + block, n)
             common = np.zeros((a - i, b - k), np.float64)
-            for c in range(0, wide, 1 << 14):
-                left, right = np.zeros((a - i, 1 << 14), np.float32), np.zeros((b - k, 1 << 14), np.float32)
+            for c in range(0, wide, step):
+                left, right = np.zeros((a - i, step), np.float32), np.zeros((b - k, step), np.float32)
                 for m, x, y in ((left, i, a), (right, k, b)):
                     r, f = rows[bounds[x] : bounds[y]], flat[bounds[x] : bounds[y]]
-                    here = (f >= c) & (f < c + (1 << 14))
+                    here = (f >= c) & (f < c + step)
                     m[r[here] - x, f[here] - c] = 1.0
+                left[:, : min(step, wide - c)] *= weight[c : c + step].astype(np.float32)
                 common += left @ right.T
             j = common / (sizes[i:a, None] + sizes[None, k:b] - common)
             for x, y in zip(*np.nonzero(j >= threshold)):
@@ -320,32 +345,41 @@ def jaccard_pairs(sets: list[np.ndarray], threshold: float, block: int = 512) ->
                     yield int(i + x), int(k + y), float(j[x, y])
 
 
-def verified(docs: DataFrame, texts: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
-    """(pairs of distinct texts, of each component's texts the group).
+#: Texts of a component that are verified against each other in one task.
+TASK_TEXTS = 2_048
 
-    Pairs: doc_ids, partner_ids (members of the two texts), jaccard.
-    """
+
+def verified(docs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
+    """doc_ids, partner_ids (members of two texts), jaccard of all pairs at the threshold or above."""
     comp = cut(components(chains(texts, s)))
     wanted = comp.select("s1", "s2")
     sets = _sets(docs, wanted, s)
     members = texts.select("s1", "s2", "members").join(comp, ["s1", "s2"])
-    rows = sets.join(members, ["s1", "s2"])
+    # a large component is spread over tasks: its texts are dealt into blocks, and every two blocks meet in one
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("texts") / TASK_TEXTS)).cast("int")
+    sizes = comp.groupBy("c1", "c2").agg(F.count("*").alias("texts")).select("c1", "c2", blocks.alias("blocks"))
+    own = F.pmod(F.xxhash64("s1", "s2"), F.col("blocks")).cast("int")
+    rows = sets.join(members.join(sizes, ["c1", "c2"]).withColumn("own", own), ["s1", "s2"])
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
 
     def verify(table: pa.Table) -> pa.Table:
-        s1, s2 = table.column("s1").to_pylist(), table.column("s2").to_pylist()
-        lists, ids = table.column("grams").to_pylist(), table.column("members").to_pylist()
+        s1, s2, own = (table.column(c).to_pylist() for c in ("s1", "s2", "own"))
+        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+        lists, ids = table.column("grams"), table.column("members")
         texts = {}
-        for i, key in enumerate(zip(s1, s2)):
+        for i, key in enumerate(zip(own, s1, s2)):
             texts.setdefault(key, i)
         order = [texts[k] for k in sorted(texts)]
+        split = None if low == high else sum(own[i] == low for i in order)
         out: list[tuple] = []
         if len(order) > 1:
-            for x, y, j in jaccard_pairs([np.array(lists[i], np.int64) for i in order], s.threshold):
-                out.append((ids[order[x]], ids[order[y]], j))
-        many = pa.list_(pa.int64())
-        return pa.table([pa.array([o[0] for o in out], many), pa.array([o[1] for o in out], many), pa.array([o[2] for o in out], pa.float64())], names=["doc_ids", "partner_ids", "jaccard"])
+            for x, y, j in jaccard_pairs([lists[i].values.to_numpy() for i in order], s.threshold, split):
+                out.append((order[x], order[y], j))
+        take = lambda k: ids.take(pa.array([o[k] for o in out], pa.int64()))
+        return pa.table([take(0), take(1), pa.array([o[2] for o in out], pa.float64())], names=["doc_ids", "partner_ids", "jaccard"])
 
-    return rows.groupBy("c1", "c2").applyInArrow(verify, "doc_ids array<bigint>, partner_ids array<bigint>, jaccard double")
+    return rows.groupBy("c1", "c2", "low", "high").applyInArrow(verify, "doc_ids array<bigint>, partner_ids array<bigint>, jaccard double")
 
 
 def join(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
