@@ -207,13 +207,6 @@ def _allowed() -> np.ndarray:
     return steps
 
 
-def _lse(x: np.ndarray, axis: int) -> np.ndarray:
-    m = x.max(axis=axis, keepdims=True)
-    m = np.where(np.isfinite(m), m, 0.0)
-    with np.errstate(divide="ignore"):
-        return np.log(np.exp(x - m).sum(axis=axis)) + m.squeeze(axis)
-
-
 def fit(rows: list[tuple[list[str], list[str]]], epochs: int = 60, rate: float = 0.2, l2: float = 1e-4) -> Model:
     """Maximum likelihood by full-batch Adam on forward-backward gradients."""
     index: dict[str, int] = {}
@@ -252,20 +245,20 @@ def fit(rows: list[tuple[list[str], list[str]]], epochs: int = 60, rate: float =
         e = np.zeros((n * longest, k))
         e[at] = x @ w
         e = e.reshape(n, longest, k)
-        alpha, beta = np.zeros((n, longest, k)), np.zeros((n, longest, k))
-        alpha[:, 0] = first + e[:, 0]
-        for j in range(1, longest):
-            new = _lse(alpha[:, j - 1, :, None] + steps, 1) + e[:, j]
-            alpha[:, j] = np.where(mask[:, j, None], new, alpha[:, j - 1])
-        for j in range(longest - 2, -1, -1):
-            new = _lse(steps + (e[:, j + 1] + beta[:, j + 1])[:, None, :], 2)
-            beta[:, j] = np.where(mask[:, j + 1, None], new, 0.0)
-        z = _lse(alpha[np.arange(n), lengths - 1], 1)
-        marginal = np.exp(alpha + beta - z[:, None, None]) * mask[..., None]
+        # forward and backward in probabilities, scaled at every position
+        odds, moves = np.exp(e - e.max(axis=2, keepdims=True)), np.exp(steps)
+        alpha, beta, scale = np.zeros((n, longest, k)), np.ones((n, longest, k)), np.ones((n, longest))
+        for j in range(longest):
+            new = (alpha[:, j - 1] @ moves if j else np.exp(first)) * odds[:, j]
+            total = new.sum(axis=1)
+            alpha[:, j] = np.where(mask[:, j, None], new / total[:, None], alpha[:, j - 1])
+            scale[:, j] = np.where(mask[:, j], total, 1.0)
         pair = np.zeros((k, k))
-        for j in range(1, longest):
-            p = np.exp(alpha[:, j - 1, :, None] + steps + (e[:, j] + beta[:, j])[:, None, :] - z[:, None, None])
-            pair += p[mask[:, j]].sum(axis=0)
+        for j in range(longest - 1, 0, -1):
+            ahead = np.where(mask[:, j, None], odds[:, j] * beta[:, j] / scale[:, j, None], 0.0)
+            pair += moves * (alpha[:, j - 1].T @ ahead)
+            beta[:, j - 1] = np.where(mask[:, j, None], ahead @ moves.T, 1.0)
+        marginal = alpha * beta * mask[..., None]
         diff = (marginal - hot).reshape(n * longest, k)[at]
         grads = [x.T @ diff / n + l2 * w, (pair - gold_steps) / n + l2 * theta[1], (marginal[:, 0] - hot[:, 0]).sum(axis=0) / n + l2 * theta[2]]
         for t, g, (m, v) in zip(theta, grads, moments):
