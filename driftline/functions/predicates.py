@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from driftline.functions.text import blank_to_null
+from driftline.functions.text import blank_to_null, let
 
 #: Checked in this order.
 BLOCK_WORDS = tuple("captcha|cloudflare|access denied|verify you are human|are you a robot|robot check|temporarily blocked|service unavailable|forbidden".split("|"))
@@ -178,20 +178,22 @@ def line_quality(x: Column) -> dict[str, Column]:
     return {"alpha": share(alpha), "digit": share(digit), "other": share(n - alpha - digit), "alnum": alpha + digit, "tokens": F.size(parts), "gibberish": F.exists(parts, long)}
 
 
+def _judged(x: Column, f) -> Column:
+    """``f`` of the line's qualities, each counted once."""
+    return let(F.struct(*[c.alias(k) for k, c in line_quality(x).items()]), f)
+
+
 def junk_line(x: Column) -> Column:
-    q = line_quality(x)
     numeric = like(x, r"^[^\p{L}]*[0-9]{2,}[^\p{L}]*$")
-    return ((q["alnum"] < 2) & ~numeric) | ((q["alpha"] < 0.12) & (q["digit"] < 0.08) & (q["other"] > 0.45) & (F.length(x) < 140))
+    return _judged(x, lambda q: ((q["alnum"] < 2) & ~numeric) | ((q["alpha"] < 0.12) & (q["digit"] < 0.08) & (q["other"] > 0.45) & (F.length(x) < 140)))
 
 
 def junk_line_ocr(x: Column) -> Column:
-    q = line_quality(x)
-    return ((q["alnum"] < 3) & (q["tokens"] <= 2)) | (q["gibberish"] & (q["alpha"] < 0.6)) | ((q["alpha"] < 0.18) & (q["digit"] < 0.12) & (q["other"] > 0.45) & (F.length(x) < 120))
+    return _judged(x, lambda q: ((q["alnum"] < 3) & (q["tokens"] <= 2)) | (q["gibberish"] & (q["alpha"] < 0.6)) | ((q["alpha"] < 0.18) & (q["digit"] < 0.12) & (q["other"] > 0.45) & (F.length(x) < 120)))
 
 
 def ui_like(x: Column) -> Column:
-    q = line_quality(x)
-    return (q["tokens"] <= 10) & ((q["alpha"] < 0.78) | (q["digit"] > 0.22))
+    return _judged(x, lambda q: (q["tokens"] <= 10) & ((q["alpha"] < 0.78) | (q["digit"] > 0.22)))
 
 
 def latin_dominant(x: Column, most: int = 12_000) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from driftline.functions.text import blank_to, blank_to_null, slug, squeeze
+from driftline.functions.text import blank_to, blank_to_null, let, slug, squeeze
 
 
 def words(x: Column) -> Column:
@@ -19,9 +19,13 @@ def tokens_ws(x: Column, lower: bool = True) -> Column:
 
 def shingles(x: Column, n: int = 1) -> Column:
     """Set of n-grams of words; fewer than n words are one shingle."""
-    w = words(x)
-    grams = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.array_join(F.slice(w, i + 1, n), " "))
-    return F.when(F.size(w) == 0, F.array().cast("array<string>")).when(F.size(w) < n, F.array(F.array_join(w, " "))).otherwise(F.array_distinct(grams))
+    none = F.array().cast("array<string>")
+
+    def of(w: Column) -> Column:
+        grams = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.array_join(F.slice(w, i + 1, n), " "))
+        return F.when(F.size(w) == 0, none).when(F.size(w) < n, F.array(F.array_join(w, " "))).otherwise(F.array_distinct(grams))
+
+    return let(words(x), of)
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -48,8 +52,8 @@ def uniq_ordered(a: Column) -> Column:
 
 def uniq_ordered_ci(a: Column) -> Column:
     """Order-preserving, the first of those that differ in case only."""
-    low = F.transform(a, F.lower)
-    return F.filter(a, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)
+    both = F.struct(a.alias("a"), F.transform(a, F.lower).alias("low"))
+    return let(both, lambda v: F.filter(v["a"], lambda x, i: F.array_position(v["low"], F.lower(x)) == i + 1))
 
 
 def same_set(a: Column, b: Column) -> Column:
@@ -58,8 +62,11 @@ def same_set(a: Column, b: Column) -> Column:
 
 def allowed_ids(used: Column, pool: Column) -> Column:
     """Ids in the pool, tried as they are and with their last ``:part`` dropped."""
-    base = F.transform(used, lambda x: F.when(F.array_contains(pool, x), x).otherwise(F.regexp_replace(x, ":[^:]*$", "")))
-    return F.array_distinct(F.filter(base, lambda x: F.array_contains(pool, x)))
+    def of(p: Column) -> Column:
+        base = F.transform(used, lambda x: F.when(F.array_contains(p, x), x).otherwise(F.regexp_replace(x, ":[^:]*$", "")))
+        return F.array_distinct(F.filter(base, lambda x: F.array_contains(p, x)))
+
+    return let(pool, of)
 
 
 def sanitise(a: Column) -> Column:
@@ -80,15 +87,19 @@ def paragraph_numbers(x: Column) -> Column:
 def paragraph_blocks(x: Column, wanted: Column) -> Column:
     """Blocks ``[Pnnn] ...`` of the wanted paragraph numbers."""
     blocks = F.filter(F.split(x, r"(?=\[P[0-9]+\])"), lambda t: t != "")
-    return F.filter(blocks, lambda t: F.array_contains(wanted, F.regexp_extract(t, r"^\[P([0-9]+)\]", 1).try_cast("int")))
+    return let(wanted, lambda w: F.filter(blocks, lambda t: F.array_contains(w, F.regexp_extract(t, r"^\[P([0-9]+)\]", 1).try_cast("int"))))
 
 
 def key_values(entries: Column) -> Column:
     """Array of (key, value) to a map: trimmed, the last of a key wins, blank values unknown."""
     named = F.filter(F.transform(entries, lambda e: F.struct(blank_to_null(e["key"]).alias("key"), blank_to(e["value"], "unknown").alias("value"))), lambda e: e["key"].isNotNull())
-    keys = F.transform(named, lambda e: e["key"])
-    last = F.filter(named, lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.greatest(F.size(keys), F.lit(1))), e["key"]))
-    return F.map_from_entries(last)
+
+    def of(es: Column) -> Column:
+        keys = F.transform(es, lambda e: e["key"])
+        both = F.struct(es.alias("es"), keys.alias("keys"))
+        return let(both, lambda v: F.map_from_entries(F.filter(v["es"], lambda e, i: ~F.array_contains(F.slice(v["keys"], i + 2, F.greatest(F.size(v["keys"]), F.lit(1))), e["key"]))))
+
+    return let(named, of)
 
 
 def map_diff(before: Column, after: Column) -> Column:
@@ -112,5 +123,6 @@ def template_valid(chunks: Column) -> Column:
 def template_norm(chunks: Column, most: int = 18) -> Column:
     """Slug keys, anchors of 14 to 96 characters, one chunk of a key, ``most`` at most."""
     t = F.transform(chunks, lambda c: F.struct(slug(c["key"]).alias("key"), c["title"].alias("title"), F.filter(F.transform(c["anchor_candidates"], squeeze), lambda a: F.length(a).between(14, 96)).alias("anchor_candidates")))
-    keys = F.transform(t, lambda c: c["key"])
-    return F.slice(F.filter(t, lambda c, i: (F.array_position(keys, c["key"]) == i + 1) & (F.size(c["anchor_candidates"]) > 0)), 1, most)
+    both = lambda v: F.struct(v.alias("t"), F.transform(v, lambda c: c["key"]).alias("keys"))
+    first = lambda v: F.filter(v["t"], lambda c, i: (F.array_position(v["keys"], c["key"]) == i + 1) & (F.size(c["anchor_candidates"]) > 0))
+    return F.slice(let(t, lambda v: let(both(v), first)), 1, most)

@@ -15,6 +15,15 @@ CONTROLS = r"[\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}\x{FEFF}\x{2500}-\x{257F
 BULLET = r"^\s*(?:[-*•]|\d{1,3}[.)])\s+"
 
 
+def let(x: Column, f) -> Column:
+    """``f`` of ``x``, evaluated once.
+
+    An expression that stands inside a lambda is evaluated for each element,
+    and one that a filter repeats is evaluated each time; a bound one isn't.
+    """
+    return F.get(F.transform(F.array(x), lambda v: f(v)), F.lit(0))
+
+
 def squeeze(x: Column) -> Column:
     """Runs of white space to one space, trimmed; null stays null."""
     return F.trim(F.regexp_replace(x, f"{WS}+", " "))

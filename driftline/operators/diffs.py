@@ -76,11 +76,13 @@ def sentences(x: Column) -> Column:
 
 def added_removed(pairs: DataFrame, before: str, after: str, most: int = 5) -> DataFrame:
     """Adds ``added`` and ``removed``: sentences of one side only, in order, ``most`` of each."""
-    b, a = sentences(F.col(before)), sentences(F.col(after))
     low = lambda s: F.transform(s, F.lower)
-    new = F.filter(a, lambda s: ~F.array_contains(low(b), F.lower(s)))
-    gone = F.filter(b, lambda s: ~F.array_contains(low(a), F.lower(s)))
-    return pairs.withColumns({"added": F.slice(sets.uniq_ordered_ci(new), 1, most), "removed": F.slice(sets.uniq_ordered_ci(gone), 1, most)})
+
+    def only(here: str, there: str) -> Column:
+        other = low(sentences(F.col(there)))
+        return t.let(other, lambda o: F.filter(sentences(F.col(here)), lambda s: ~F.array_contains(o, F.lower(s))))
+
+    return pairs.withColumns({"added": F.slice(sets.uniq_ordered_ci(only(after, before)), 1, most), "removed": F.slice(sets.uniq_ordered_ci(only(before, after)), 1, most)})
 
 
 def score_text(name: str, score: Column) -> Column:

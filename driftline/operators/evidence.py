@@ -94,7 +94,7 @@ def paragraph_selection(prompt: Column) -> Column:
 def chunk_score(text: Column, kws: Column, wants: dict[str, Column]) -> Column:
     n = lambda k: F.least(F.regexp_count(text, F.lit(SCORES[k][0])), F.lit(999)) * SCORES[k][1]
     low = F.lower(text)
-    hits = F.size(F.filter(kws, lambda k: F.contains(low, k))) * 3
+    hits = t.let(low, lambda v: F.size(F.filter(kws, lambda k: F.contains(v, k)))) * 3
     when = lambda k, x: F.when(wants[k], x).otherwise(0)
     return (
         hits
@@ -193,8 +193,8 @@ def rank_items(text: Column, limit: Column | None = None) -> Column:
     """struct(rank, quote) of ``- #n`` items, each to the next, one of a rank, up to the limit."""
     parts = F.filter(F.split(text, r"(?m)(?=^\s*-\s*#\s*[0-9])"), lambda x: like(x, r"^\s*-\s*#\s*[0-9]"))
     items = F.transform(parts, lambda x: F.struct(F.regexp_extract(x, r"#\s*([0-9]{1,3})", 1).cast("int").alias("rank"), t.squeeze(x).alias("quote")))
-    ranks = F.transform(items, lambda x: x["rank"])
-    first = F.filter(items, lambda x, i: F.array_position(ranks, x["rank"]) == i + 1)
+    both = lambda v: F.struct(v.alias("items"), F.transform(v, lambda x: x["rank"]).alias("ranks"))
+    first = t.let(items, lambda v: t.let(both(v), lambda b: F.filter(b["items"], lambda x, i: F.array_position(b["ranks"], x["rank"]) == i + 1)))
     return first if limit is None else F.filter(first, lambda x: x["rank"].between(1, limit))
 
 

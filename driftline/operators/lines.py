@@ -345,8 +345,15 @@ def clean_ocr(docs: DataFrame, key: str, text: str) -> DataFrame:
     d = d.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("ls"))
     # after the aggregate: a filter on the cleaned line would be pushed down and clean it over and over
     good = F.filter(F.transform("ls", lambda x: x["line"]), lambda x: (x != "") & ~p.junk_line_ocr(x))
-    d = d.select(key, dedupe_sliding(good).alias("ls"))
-    lines_ = d.select(key, F.posexplode("ls").alias("pos", "line"))
+    d = d.select(key, good.alias("ls"), F.transform(good, t.exact_key).alias("ks"))
+
+    def slide(batches):
+        for b in batches:
+            kept = [[x for x, k in zip(ls, sliding_keep(ks, DEFAULT.dedupe_window)) if k] for ls, ks in zip(b.column("ls").to_pylist(), b.column("ks").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(key), pa.array(kept, pa.list_(pa.string()))], [key, "ls"])
+
+    kind = d.schema[key].dataType.simpleString()
+    lines_ = d.mapInArrow(slide, f"`{key}` {kind}, ls array<string>").select(key, F.posexplode("ls").alias("pos", "line"))
     return dedupe_exact(drop_boilerplate(lines_, key), key)
 
 
