@@ -11,8 +11,8 @@ are certain to be read as "outside" whatever stands around them, which training
 asserts; so only windows around other tokens are decoded, and the result is that
 of decoding whole texts.
 
-Defined results
----------------
+Defined results:
+
 * null text stays null, empty text stays empty, both without spans.
 * very long texts and long runs of numbers are decoded whole.
 * repeated rows are masked alike; other columns pass through untouched, whatever
@@ -44,7 +44,7 @@ CONTEXT = 3
 CELLS = 1 << 16  # tokens of one padded batch
 
 
-# --- features ---------------------------------------------------------------
+# --- features
 
 _OPEN, _CLOSE = "\"'([{<", "\"')]}>.,;:!?"
 
@@ -90,7 +90,7 @@ def features(token: str) -> tuple[str, ...]:
     return tuple(out)
 
 
-# --- the labelled table -----------------------------------------------------
+# --- the labelled table
 
 
 def training_rows(rows: int = 600, seed: int = 7) -> list[tuple[list[str], list[str]]]:
@@ -181,7 +181,7 @@ def training_rows(rows: int = 600, seed: int = 7) -> list[tuple[list[str], list[
     return out
 
 
-# --- model ------------------------------------------------------------------
+# --- model
 
 
 @dataclass(frozen=True)

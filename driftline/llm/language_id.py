@@ -8,8 +8,8 @@ document, corrected for each filter's false-positive rate, decide.
 The filters are trained on labelled documents, at most ``train_docs`` of each
 language, chosen by hash of doc_id; everything else is done for every document.
 
-Defined results
----------------
+Defined results:
+
 * null, empty or very short text: no n-grams or too few, language ``und``.
 * no language above ``min_share``: ``und``.  Of equal shares the language that
   is first in the alphabet wins.

@@ -4,8 +4,8 @@ Each document is encoded once; from then on only (encoded length, documents)
 counts exist.  Suffix sums over the histogram answer document and token totals,
 quantiles and truncated totals for every context limit, exactly.
 
-Defined results
----------------
+Defined results:
+
 * null and empty texts are documents of length 0.
 * very long texts are encoded whole.
 * repeated rows each count; other columns are never read.

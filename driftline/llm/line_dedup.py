@@ -9,8 +9,8 @@ task drops repeats among so many rows at a time before the exchange.
 A bitmap is run-length encoded: alternating run lengths, kept lines first, as in
 ``"3,1,2"`` for 3 kept, 1 dropped, 2 kept.
 
-Defined results
----------------
+Defined results:
+
 * lines end at ``\\n``.  Blank lines and lines shorter than ``min_chars`` are
   always kept and count as no occurrence.
 * documents come in order of doc_id, a null first, then of their text's hash;

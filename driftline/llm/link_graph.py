@@ -5,8 +5,8 @@ of.  Trust is personalised PageRank from trusted seed hosts along the links;
 distrust is personalised PageRank from blocked seed hosts against them.  A host
 whose distrust outweighs its trust by the threshold is dropped with its pages.
 
-Defined results
----------------
+Defined results:
+
 * a page whose url is null or has no http(s) host gets a null host and is kept.
 * null or empty html has no links; very long html is searched whole.
 * links without a host are the page's own host's and are no edge.

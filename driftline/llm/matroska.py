@@ -6,8 +6,8 @@ cluster.  Only ranges are returned, never payloads.  Elements are
 variable-length EBML: ids keep their length marker, sizes lose it, and a size of
 all ones is unknown and ends where an element of the parent's level begins.
 
-Defined results
----------------
+Defined results:
+
 * null or empty blobs have no rows.
 * a damaged or cut blob has the packets before the damage and one last row with
   ``error`` set and every other packet column null.
@@ -271,7 +271,7 @@ def packets(media: DataFrame, id_col: str = "media_id", blob_col: str = "media")
     return media.select(F.col(f"`{id_col}`").cast("bigint").alias("media_id"), F.col(f"`{blob_col}`").cast("binary").alias("media")).mapInArrow(run, SCHEMA)
 
 
-# --- writing, for tables that hold no media of their own ----------------------
+# --- writing, for tables that hold no media of their own
 
 
 def size_of(n: int, width: int | None = None) -> bytes:

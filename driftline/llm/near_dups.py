@@ -13,8 +13,8 @@ the members of a node are chained to its first; chains of all trees together
 make components, and every pair within a component is verified exactly on its
 n-gram sets, which are computed again for these documents only.
 
-Defined results
----------------
+Defined results:
+
 * words are runs of ASCII letters and digits (case ignored) and of non-ASCII
   characters.  Texts of fewer than ``n`` words are one n-gram; texts without a
   word (null, empty) match nothing.
@@ -62,7 +62,7 @@ class Settings:
         return 1
 
 
-# --- n-grams of a batch, without a loop over words ----------------------------
+# --- n-grams of a batch, without a loop over words
 
 
 def _powers(n: int) -> np.ndarray:
@@ -177,7 +177,7 @@ def distinct_texts(docs: DataFrame, s: Settings) -> DataFrame:
     return g.select("s1", "s2", "signature", members.alias("members"))
 
 
-# --- the forest ---------------------------------------------------------------
+# --- the forest
 
 
 def chains(texts: DataFrame, s: Settings) -> DataFrame:
@@ -251,7 +251,7 @@ def components(edges: DataFrame) -> DataFrame:
     return e.unionByName(roots).select(F.col("u.x").alias("s1"), F.col("u.y").alias("s2"), F.col("v.x").alias("c1"), F.col("v.y").alias("c2"))
 
 
-# --- exact verification -------------------------------------------------------
+# --- exact verification
 
 #: Up to so many texts, their hashes are sent to all tasks as a filter before the join.
 FILTER_LIMIT = 4_000_000

@@ -7,8 +7,8 @@ dot-product heuristic: of the examples that still fit the open sequence, place
 the one whose sizes, relative to the limits, have the greatest dot product with
 what is left of them; open the next sequence when none fits.
 
-Defined results
----------------
+Defined results:
+
 * an example over a limit is split: its tokens are cut into pieces that fit.
 * examples without tokens (null, empty texts) take no place and have no row.
 * rows that agree in id are one example in conversations (their turns are put

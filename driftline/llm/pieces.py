@@ -14,8 +14,8 @@ character, and around characters that no piece has, since no piece of the model
 spans them (checked on loading).  Text is cut there first, and the ids of short
 stretches are remembered.
 
-Defined results
----------------
+Defined results:
+
 * null text: null ids; empty text: no ids.
 * characters without a piece become the ids of their UTF-8 bytes.
 * very long texts, also without spaces, are encoded whole in bounded memory.

@@ -7,8 +7,8 @@ distance (base 2, 0 to 1).  Histograms are counted in numpy over Arrow batches
 distances are built-in expressions.  Documents are never shuffled: only one row
 per partition and language is exchanged.
 
-Defined results
----------------
+Defined results:
+
 * null or empty text, text under a minimum length, a null language or one that
   has no reference: nothing to judge by, the document is kept, its distances
   are null where they can't be computed.
