@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from driftline.functions.text import squeeze
 
-REVIEW = r"(?:opin(?:ia|ie|ii)?|recenz(?:ja|je|ji)?|reviews?|ratings?|ocen[ay]?)"
+REVIEW = r"(?:ocen[ay]?|ratings?|reviews?|recenz(?:ji|je|ja)?|opin(?:ii|ie|ia)?)"
 RATING = r"([0-9]{1,2}(?:[.,][0-9]{1,2})?)\s*"
-PRICE = r"([\d\s.,]+)\s*([a-zA-Zżł€£$]{0,4})"
+PRICE = r"([0-9\s,.]+)\s*([żł€£$A-Za-z]{0,4})"
 
 
 def clamp(x: Column, low, high) -> Column:
@@ -49,13 +49,13 @@ def price_in_text(x: Column) -> Column:
 
 
 def number_maybe(x: Column) -> Column:
-    raw = F.regexp_extract(x, r"-?\d[\d ]*(?:[.,]\d+)?", 0)
+    raw = F.regexp_extract(x, r"-?[0-9][0-9 ]*(?:[,.][0-9]+)?", 0)
     return as_number(F.replace(raw, F.lit(" "), F.lit("")))
 
 
 def money(x: Column) -> Column:
     bare = F.regexp_replace(x, r"\s+", "")
-    return as_number(F.regexp_replace(bare, r"\.(?=\d{3}(?:\D|$))", ""))
+    return as_number(F.regexp_replace(bare, r"[.](?=[0-9]{3}(?:[^0-9]|$))", ""))
 
 
 def int_maybe(x: Column) -> Column:

@@ -13,7 +13,7 @@ CHALLENGE = (
     r"(?i)javascript is disabled|awswafintegration|__challenge_|awswafcookiedomainlist|(?:enable|włącz|wlacz|aktywuj) javascript"
     r"|(?:site|page) requires javascript|strona wymaga (?:włączenia )?javascript|not a robot"
 )
-FRAMEWORK = r"(?i)schema\.org|@context|@type|pinia|hydration|redux|apollo|\$snuxt|__nuxt|__next"
+FRAMEWORK = r"(?i)\$snuxt|@context|@type|__next|__nuxt|apollo|hydration|pinia|redux|schema\.org"
 
 
 def count(x: Column, pattern: str) -> Column:
@@ -25,7 +25,7 @@ def like(x: Column, pattern: str) -> Column:
 
 
 def is_uuid(x: Column) -> Column:
-    return like(x, r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[1-5][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$")
+    return like(x, r"(?i)^[\da-f]{8}-[\da-f]{4}-[1-5][\da-f]{3}-[89ab][\da-f]{3}-[\da-f]{12}$")
 
 
 def is_object_id(x: Column) -> Column:
@@ -33,7 +33,7 @@ def is_object_id(x: Column) -> Column:
 
 
 def is_email(x: Column) -> Column:
-    return like(x, r"^[^\s@]+@[^\s@]+\.[^\s@]+$")
+    return like(x, r"^(?:[^@\s]+)@(?:[^@\s]+)\.(?:[^@\s]+)$")
 
 
 def block_reason(status: Column, html: Column) -> Column:

@@ -173,9 +173,9 @@ def product_key(x: Column) -> Column:
         BULLET,
         r"(?:in stock|out of stock|dost[ęe]pn\S*|niedost[ęe]pn\S*).*$",
         r"\d+\s*(?:min|godz|dni|hours?|days?|minutes?)\.?\s*(?:temu|ago)",
-        r"\d{1,2}[./-]\d{1,2}(?:[./-]\d{2,4})?",
+        r"[0-9]{1,2}[-./][0-9]{1,2}(?:[-./][0-9]{2,4})?",
         r"\d[\d .,]*\s*(?:zł|zl|pln|eur|usd|€|\$|£)",
-        r"\d+(?:[.,]\d+)?\s*(?:ml|kg|g|l|cm|mm|szt)(?![\p{L}\p{N}])",
+        r"[0-9]+(?:[,.][0-9]+)?\s*(?:ml|kg|g|l|cm|mm|szt)(?![\p{L}\p{N}])",
         "[\"'„”“’«»`]",
     ):
         x = F.regexp_replace(x, pattern, " ")
@@ -211,7 +211,7 @@ def should_join(prev: Column, cur: Column, wrap_at: int = 140) -> Column:
 def pseudo_lines(x: Column) -> Column:
     """Lines; where there are two or fewer, parts between pipes or sentences."""
     lines = F.filter(F.transform(F.split(x, "\n"), lambda s_: F.trim(s_)), lambda t: t != "")
-    parts = F.filter(F.transform(F.split(x, r"\s*\|\s*|(?<=[.!?])\s+"), lambda s_: F.trim(s_)), lambda t: t != "")
+    parts = F.filter(F.transform(F.split(x, r"(?<=[!.?])\s+|\s*[|]\s*"), lambda s_: F.trim(s_)), lambda t: t != "")
     return F.when(F.size(lines) > 2, lines).otherwise(parts)
 
 
@@ -226,7 +226,7 @@ def first_words_template(x: Column) -> Column:
     return F.transform(paras, lambda t: F.struct(slug(words(t, 4)).alias("key"), words(t, 4).alias("title"), F.array(words(t, 12)).alias("anchor_candidates")))
 
 
-# --- hashes and encodings ---
+# --- hashes and encodings
 
 
 def sha1_or_null(x: Column) -> Column:
@@ -279,7 +279,7 @@ def render_marked(lines: Column, paras: Column) -> Column:
     return F.array_join(F.transform(lines, mark), "\n")
 
 
-# --- semi-structured ---
+# --- semi-structured
 
 
 def json_lenient(x: Column) -> Column:

@@ -78,7 +78,7 @@ def select_paragraphs(prompt: str | None) -> list[int]:
     for a, b in re.findall(r"p(\d{1,4})\s*[-–—]\s*p?(\d{1,4})", low):
         out |= set(range(int(a), min(int(b), int(a) + 500) + 1))
     name = r"(?:paragraf\w*|akapit\w*|paragraphs?|ust[eę]p\w*)"
-    for m in re.finditer(name + r"\s*(?:od\s+|from\s+|nr\s+)?(\d{1,4})(?:\s*(?:-|–|do|to)\s*(\d{1,4}))?((?:\s*(?:,|i|and|oraz)\s*\d{1,4})*)", low):
+    for m in re.finditer(name + r"\s*(?:od\s+|from\s+|nr\s+)?([0-9]{1,4})(?:\s*(?:–|-|to|do)\s*([0-9]{1,4}))?((?:\s*(?:and|oraz|i|,)\s*[0-9]{1,4})*)", low):
         a, b = int(m[1]), int(m[2] or m[1])
         out |= set(range(a, min(b, a + 500) + 1)) | {int(x) for x in re.findall(r"\d+", m[3])}
     for w, n in ORDINALS.items():

@@ -218,7 +218,7 @@ def best_container(html: Column) -> Column:
     return _udf(container_score, "struct<tag: string, score: double, text: string>")(html)
 
 
-# --- regular expressions --------------------------------------------------------
+# --- regular expressions
 
 
 def title(html: Column) -> Column:
@@ -279,7 +279,7 @@ def fallback_candidate(html: Column) -> Column:
     return F.struct(title(html).alias("title"), meta(html, "description").alias("description"), text.alias("text"), F.when(text != "", 0.35).otherwise(0.2).alias("confidence"))
 
 
-# --- JSON-LD -------------------------------------------------------------------
+# --- JSON-LD
 
 
 def _entries(html: str) -> list[dict]:
@@ -398,7 +398,7 @@ def price_of_dom(html: Column) -> Column:
     return numbers.price(_udf(main_price, "string")(html))
 
 
-# --- choice ---------------------------------------------------------------------
+# --- choice
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:

@@ -87,7 +87,7 @@ def unique_keys(chunks: DataFrame, key: str, order: str) -> DataFrame:
     return c.withColumn("chunk_key", F.when(n > 1, F.concat("slug", F.lit("-"), n.cast("string"))).otherwise(F.col("slug"))).drop("slug")
 
 
-# --- folds over one document's lines, which no window expresses -----------------
+# --- folds over one document's lines, which no window expresses
 
 
 def _udf(f: Callable, schema: str):

@@ -119,7 +119,7 @@ def upgrade_or_insert(existing: DataFrame, wanted: DataFrame, mode: str = "scree
     return changed.unionByName(made.select("monitor_id", "url", F.lit(mode).alias("mode"), F.lit("pending").alias("status"), "created_at"))
 
 
-# --- monitors ---------------------------------------------------------------
+# --- monitors
 
 
 def create_monitors(requests: DataFrame, now: Column, interval_sec: int = 3600) -> DataFrame:

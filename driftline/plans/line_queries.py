@@ -107,14 +107,14 @@ def scripts(spark, d):
 
 @query("serialized_blob_flag", r"""
 WITH c AS (SELECT page_id, html, length(html)::DOUBLE AS n, len(regexp_extract_all(html, '[\[\]{}":,\\]')) AS p, len(regexp_extract_all(html, '[A-Za-zĄĆĘŁŃÓŚŹŻąćęłńóśźż]')) AS l, len(regexp_extract_all(html, '"')) AS q, len(regexp_extract_all(html, ':')) AS k FROM pages)
-SELECT page_id, n >= 180 AND (regexp_matches(html, '(?i)schema\.org|@context|@type|pinia|hydration|redux|apollo|\$snuxt|__nuxt|__next|webpack') OR (p / n > 0.12 AND l / n < 0.75) OR (q >= 20 AND k >= 10)) AS serialised FROM c""")
+SELECT page_id, n >= 180 AND (regexp_matches(html, '(?i)\$snuxt|@context|@type|__next|__nuxt|apollo|hydration|pinia|redux|schema\.org|webpack') OR (p / n > 0.12 AND l / n < 0.75) OR (q >= 20 AND k >= 10)) AS serialised FROM c""")
 def blobs(spark, d):
     return table(spark, d, "pages").select("page_id", predicates.serialised(F.col("html")).alias("serialised"))
 
 
 @query("drop_line_rules", rf"""
 SELECT doc_id, pos FROM {LINES} WHERE length(line) = 0 OR len(regexp_extract_all(line, '[\[\]{{}}\\"]')) >= 3 OR regexp_matches(line, '(?i)https?://\S+|(?:^|\s)/api/\S+|mailto:|tel:|\S+@\S+\.\S+')
- OR len(regexp_extract_all(line, '/')) >= 6 OR regexp_matches(line, '(?i)schema\.org|@context|@type|pinia|hydration|redux|apollo|\$snuxt|__nuxt|__next') OR regexp_matches(line, '(?i)no elements found|list is empty')
+ OR len(regexp_extract_all(line, '/')) >= 6 OR regexp_matches(line, '(?i)\$snuxt|@context|@type|__next|__nuxt|apollo|hydration|pinia|redux|schema\.org') OR regexp_matches(line, '(?i)no elements found|list is empty')
  OR (length(line) >= 30 AND len(regexp_extract_all(line, '[0-9A-Za-zĄĆĘŁŃÓŚŹŻąćęłńóśźż]'))::DOUBLE / length(line) < 0.55) OR (length(line) <= 1 AND NOT regexp_matches(line, '^[0-9]$'))""")
 def drops(spark, d):
     return lines(spark, d).where(predicates.drop_line(F.col("line"))).select("doc_id", F.col("pos").cast("bigint").alias("pos"))
@@ -122,7 +122,7 @@ def drops(spark, d):
 
 @query("structure_score", r"""
 WITH l AS (SELECT doc_id, trim(text, ' ') AS t, list_filter(list_transform(string_split(trim(text, ' '), chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') AS ls FROM documents),
-c AS (SELECT *, len(ls) AS n, len(list_filter(ls, lambda x: regexp_matches(x, '^#{1,6}\s+'))) AS h, len(list_filter(ls, lambda x: regexp_matches(x, '^(?:\s*-\s+|\s*[0-9]+\.\s+)'))) AS li, len(list_filter(ls, lambda x: regexp_matches(x, '^[^:]{2,60}:\s+\S'))) AS kv,
+c AS (SELECT *, len(ls) AS n, len(list_filter(ls, lambda x: regexp_matches(x, '^#{1,6}\s+'))) AS h, len(list_filter(ls, lambda x: regexp_matches(x, '^(?:\s*-\s+|\s*[0-9]+\.\s+)'))) AS li, len(list_filter(ls, lambda x: regexp_matches(x, '^[^:]{2,60}:\s\s*\S'))) AS kv,
  len(regexp_extract_all(t, 'https?://')) AS u, len(regexp_extract_all(t, '[{}\[\]]')) AS br FROM l)
 SELECT doc_id, round(CASE WHEN t = '' THEN 0 ELSE greatest(0, least(1, (least(1, n / 120.0::DOUBLE) * 0.35 + least(1, h / 6.0::DOUBLE) * 0.25 + least(1, li / 30.0::DOUBLE) * 0.2 + least(1, kv / 30.0::DOUBLE) * 0.15
  + CASE WHEN length(t)::DOUBLE / greatest(1, n) <= 160 THEN 0.05 ELSE 0 END - CASE WHEN n <= 2 AND length(t) > 800 THEN 0.3 ELSE 0 END - least(0.4, u * 0.05 + br / 200.0::DOUBLE)) * 0.8::DOUBLE)) END, 6)::DOUBLE AS score FROM c""")

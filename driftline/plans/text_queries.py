@@ -195,7 +195,7 @@ def map_diff(spark, d):
 
 @query("price_parse", r"""
 WITH x AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN p_retailprice || ' zł' WHEN 1 THEN '$' || p_retailprice WHEN 2 THEN '1 ' || replace(p_retailprice::VARCHAR, '.', ',') || ' EUR' WHEN 3 THEN p_size || ' usd' ELSE p_name END AS raw FROM part),
-y AS (SELECT *, regexp_replace(regexp_extract(raw, '([\d\s.,]+)\s*([a-zA-Zżł€£$]{0,4})', 1), '\s', '', 'g') AS n, regexp_extract(raw, '([\d\s.,]+)\s*([a-zA-Zżł€£$]{0,4})', 2) AS u FROM x),
+y AS (SELECT *, regexp_replace(regexp_extract(raw, '([0-9\s,.]+)\s*([żł€£$A-Za-z]{0,4})', 1), '\s', '', 'g') AS n, regexp_extract(raw, '([0-9\s,.]+)\s*([żł€£$A-Za-z]{0,4})', 2) AS u FROM x),
 z AS (SELECT *, TRY_CAST(regexp_extract(regexp_replace(n, '^([^,]*),', '\1.'), '^\d*\.?\d+') AS DOUBLE) AS v, lower(coalesce(nullif(u, ''), raw)) AS f FROM y)
 SELECT p_partkey, v AS value, CASE WHEN v IS NULL THEN NULL WHEN regexp_matches(f, 'zł|pln|zl') THEN 'PLN' WHEN regexp_matches(f, '€|eur') THEN 'EUR' WHEN regexp_matches(f, '£|gbp') THEN 'GBP' WHEN regexp_matches(f, '\$|usd') THEN 'USD' END AS currency FROM z""")
 def prices(spark, d):
@@ -258,8 +258,8 @@ def blocks(spark, d):
 
 
 @query("id_predicates", r"""
-SELECT doc_id, regexp_matches(sha256(text)[1:8] || '-' || sha256(text)[9:12] || '-4' || sha256(text)[14:16] || '-a' || sha256(text)[18:20] || '-' || sha256(text)[21:32], '^[0-9a-f]{8}-[0-9a-f]{4}-[1-5][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$') AS uuid,
- length(sha1(text)[1:20 + doc_id % 6]) = 24 AS object_id, regexp_matches(source || CASE WHEN doc_id % 2 = 0 THEN '@x.org' ELSE '' END, '^[^\s@]+@[^\s@]+\.[^\s@]+$') AS email FROM documents""")
+SELECT doc_id, regexp_matches(sha256(text)[1:8] || '-' || sha256(text)[9:12] || '-4' || sha256(text)[14:16] || '-a' || sha256(text)[18:20] || '-' || sha256(text)[21:32], '^[a-f0-9]{8}(-[a-f0-9]{4}){4}[a-f0-9]{8}$') AS uuid,
+ length(sha1(text)[1:20 + doc_id % 6]) = 24 AS object_id, regexp_matches(source || CASE WHEN doc_id % 2 = 0 THEN '@x.org' ELSE '' END, '^(?:[^@\s]+)@(?:[^@\s]+)\.(?:[^@\s]+)$') AS email FROM documents""")
 def ids(spark, d):
     doc, h = table(spark, d, "documents"), F.sha2("text", 256)
     part = lambda a, n: F.substr(h, F.lit(a), F.lit(n))

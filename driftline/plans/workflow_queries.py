@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None):
 @query("task_due_schedule", f"""
 SELECT m.id, m.name FROM {MONITORS} m
 LEFT JOIN (SELECT monitor_id, max(planned_at) AS p FROM {TASKS} GROUP BY 1) t ON t.monitor_id = m.id
-WHERE m.active AND NOT EXISTS (SELECT 1 FROM {TASKS} z WHERE z.monitor_id = m.id AND z.status IN ('pending', 'running'))
+WHERE m.active AND NOT EXISTS (SELECT 1 FROM {TASKS} busy WHERE m.id = busy.monitor_id AND busy.status IN ('pending', 'running'))
  AND coalesce(t.p, m.created_at) + to_seconds(m.interval_sec) <= {SQL_NOW}
 ORDER BY m.created_at, m.id LIMIT 200""")
 def due(spark, d):
@@ -35,7 +35,7 @@ def due(spark, d):
 
 
 @query("tasks_without_active", f"""
-SELECT id FROM {MONITORS} m WHERE NOT EXISTS (SELECT 1 FROM {TASKS} z WHERE z.monitor_id = m.id AND z.status IN ('pending', 'running'))""")
+SELECT id FROM {MONITORS} m WHERE NOT EXISTS (SELECT 1 FROM {TASKS} busy WHERE m.id = busy.monitor_id AND busy.status IN ('pending', 'running'))""")
 def without_active(spark, d):
     return w.without_active(monitors(spark, d), tasks(spark, d), "id").select("id")
 
