@@ -75,7 +75,7 @@ def review_count(x: Column) -> Column:
 
 
 def trend_price(x: Column) -> Column:
-    return money(found(x, r"(?i)(?:trend\s*cenowy|historia\s*cen)[^0-9]{0,60}([0-9]{1,6}(?:[\s\x{00A0}]?[0-9]{3})*(?:[.,][0-9]{1,2})?)"))
+    return money(found(x, r"(?i)(?:historia\s*cen|trend\s*cenowy)[^0-9]{0,60}([0-9]{1,6}(?:[\s\x{00A0}]?[0-9]{3})*(?:[.,][0-9]{1,2})?)"))
 
 
 def rating_signature(x: Column) -> Column:

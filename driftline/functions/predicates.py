@@ -82,7 +82,7 @@ def ignores(prompt: Column, keywords: tuple[str, ...]) -> Column:
 
 
 def seller_review(x: Column) -> Column:
-    return like(x, r"sprzedawc|kupuj[aą]cych\s+polec|transakcj|obs[łl]ug|czas\s+realiz|wysy[lł]k|zgodnosc\s+z\s+opis")
+    return like(x, r"transakcj|sprzedawc|obs[łl]ug|wysy[lł]k|zgodnosc\s+z\s+opis|czas\s+realiz|kupuj[aą]cych\s+polec")
 
 
 def wants_seller(prompt: Column) -> Column:

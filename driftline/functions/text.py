@@ -269,7 +269,7 @@ def sanitise_raw(x: Column) -> Column:
 
 def split_candidates(x: Column) -> Column:
     """Lines; with fewer than two newlines, parts at bullets, pipes, tabs and, if long, sentences."""
-    parts = F.when(F.size(F.split(x, "\n")) > 2, F.split(x, "\n")).when(F.length(x) >= 450, F.split(x, r"\s*[•|\t]\s*|(?<=[.!?])\s+")).otherwise(F.split(x, r"\s*[•|\t]\s*"))
+    parts = F.when(F.size(F.split(x, "\n")) > 2, F.split(x, "\n")).when(F.length(x) >= 450, F.split(x, r"(?<=[!.?])\s+|\s*[\t•|]\s*")).otherwise(F.split(x, r"\s*[•|\t]\s*"))
     return F.filter(F.transform(parts, lambda s_: F.trim(s_)), lambda t: t != "")
 
 
