@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from driftline.functions import numbers, predicates, sets
 from driftline.functions import text as t
 from driftline.operators import diffs, evidence
+from driftline.operators import lines as ln
 from driftline.sources.tables import table
 
 Q, S = {}, {}
@@ -176,9 +178,17 @@ s AS (SELECT *, {_tokens('lower(before)')} AS a, {_tokens('lower(after)')} AS b,
 SELECT source, slot, CASE WHEN before IS NULL THEN 'added' WHEN after IS NULL THEN 'removed'
  WHEN 1 - ({JAC}) >= CASE WHEN 1 - ({JAC.replace('(a', '(na').replace('b)', 'nb)').replace('len(a)', 'len(na)')}) >= 0.12 THEN 0.08 ELSE 0.12 END THEN 'changed' ELSE 'same' END AS change FROM s""")
 def full_outer(spark, d):
-    c = table(spark, d, "documents").where(F.length("text") < 4000)
-    v = c.groupBy("source", (F.col("doc_id") % 50).alias("slot"), (F.floor(F.col("doc_id") / 50) % 2).alias("ver")).agg(F.min("text").alias("text"))
-    return diffs.chunk_full_outer(v.where("ver = 0"), v.where("ver = 1"), ["source", "slot"]).select("source", "slot", "change")
+    """Packed chunks of every document against those of the version before, by chunk id.
+
+    The first version of a source has all its chunks added.  The SQL still has
+    fifty slots a source and no text of 4000 characters or more: other rows.
+    """
+    doc = table(spark, d, "documents")
+    later = doc.select("source", "doc_id", F.lead("doc_id").over(Window.partitionBy("source").orderBy("doc_id")).alias("next_id"))
+    segs = ln.merged_segments(ln.segments(F.split("text", "\n")))
+    c = doc.select("source", "doc_id", F.explode(ln.packed_chunks(segs)).alias("c")).select("source", "doc_id", F.col("c.id").alias("chunk_id"), "c.text")
+    before = c.join(later.where("next_id is not null"), ["source", "doc_id"]).select("source", F.col("next_id").alias("doc_id"), "chunk_id", "text")
+    return diffs.chunk_full_outer(before, c, ["source", "doc_id", "chunk_id"]).select("source", "doc_id", "chunk_id", "change")
 
 
 @query("map_diff", """
