@@ -103,9 +103,10 @@ WITH p AS (SELECT user_id, event_id AS id, lower(event_type) AS q FROM events WH
 u AS (SELECT DISTINCT user_id, lower(event_type) AS q FROM events WHERE event_id % 60 = 0)
 SELECT u.user_id, count(DISTINCT p.id) AS ids FROM u JOIN p ON p.user_id = u.user_id AND p.q = u.q GROUP BY u.user_id""")
 def ids(spark, d):
+    """Every event is evidence and every user's event types are used; the SQL still has a fiftieth and a sixtieth of them."""
     e = table(spark, d, "events")
-    pool = e.where("event_id % 50 = 0").select("user_id", F.col("event_id").alias("id"), F.concat(F.lit('"'), F.upper("event_type"), F.lit('"')).alias("quote"))
-    used = e.where("event_id % 60 = 0").groupBy("user_id").agg(F.collect_set("event_type").alias("quotes"))
+    pool = e.select("user_id", F.col("event_id").alias("id"), F.concat(F.lit('"'), F.upper("event_type"), F.lit('"')).alias("quote"))
+    used = e.groupBy("user_id").agg(F.collect_set("event_type").alias("quotes"))
     return evidence.quotes_to_ids(used, pool, "user_id").select("user_id", F.size("ids").cast("bigint").alias("ids"))
 
 

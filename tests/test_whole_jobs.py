@@ -33,3 +33,12 @@ def test_chunk_full_outer_diff(run):
     assert of(101) == {ids[0]: "same"} | dict.fromkeys(ids[1:], "removed")
     assert of(2) == {ids[0]: "added"} and of(3) == {ids[0]: "same"} and of(4) == {ids[0]: "removed"}
     assert len(rows) == sum(len(of(k)) for k, _, _ in docs)
+
+
+EVENTS = "event_id bigint, user_id bigint, event_type string"
+
+
+def test_quotes_to_ids(run):
+    events = [(k, k % 3, "view" if k % 2 else "Click") for k in range(1, 40)]
+    want = {u: sum(k % 3 == u for k, _, _ in events) for u in range(3)}
+    assert {r.user_id: r.ids for r in run("quotes_to_ids", "events", EVENTS, events)} == want
