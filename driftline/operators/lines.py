@@ -46,8 +46,10 @@ def char_budget(lines: DataFrame, key: str, chars: int, n_lines: int) -> DataFra
 
 
 def clean_dom(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """The DOM line pipeline: cut, normalise, junk, boilerplate, dedupe, caps."""
-    raw = docs.select(key, t.collapse_lines(t.normalise_newlines(F.left(F.col(text), F.lit(DEFAULT.clean_chars)))).alias("text"))
+    """The DOM line pipeline: cut, wrap, collapse, state blobs, long lines, junk, boilerplate, dedupe, caps."""
+    whole = F.array_join(wrap_single(F.left(F.col(text), F.lit(DEFAULT.clean_chars))), "\n")
+    raw = docs.select(key, without_json_blobs(t.collapse_lines(t.normalise_newlines(whole))).alias("text"))
+    raw = raw.select(key, F.array_join(cut_long_lines(F.transform(F.split("text", "\n"), lambda x: F.trim(x))), "\n").alias("text"))
     lines = explode_lines(raw, key, "text").where(~p.junk_line(F.col("line")))
     return char_budget(dedupe_exact(drop_boilerplate(lines, key), key), key, DEFAULT.clean_chars, DEFAULT.clean_lines)
 

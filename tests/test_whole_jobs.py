@@ -42,3 +42,20 @@ def test_quotes_to_ids(run):
     events = [(k, k % 3, "view" if k % 2 else "Click") for k in range(1, 40)]
     want = {u: sum(k % 3 == u for k, _, _ in events) for u in range(3)}
     assert {r.user_id: r.ids for r in run("quotes_to_ids", "events", EVENTS, events)} == want
+
+
+def test_clean_lines_dom(spark, run):
+    from driftline.operators import lines
+
+    words = [f"word{i}" for i in range(150)]
+    blob = "{" + ",".join(f'"{i}":[{{}}]' for i in range(80)) + "}"
+    docs = [(1, " ".join(words)), (2, f"before the state\n{blob}\nafter the state"), (3, "short\n" + " ".join(words)), (4, "one line only"), (5, None), (6, "")]
+    assert len(docs[0][1]) >= 600 and len(blob) >= 300
+    out = lines.clean_dom(spark.createDataFrame(docs, "doc_id bigint, text string"), "doc_id", "text").orderBy("doc_id", "pos").collect()
+    of = lambda k: [r.line for r in out if r.doc_id == k]
+    assert of(1) == lines.wrap_words(docs[0][1], 140) and len(of(1)) > 4
+    assert of(2) == ["before the state", "after the state"]
+    assert len(of(3)) > 2 and max(map(len, of(3))) <= 420 and " ".join(of(3)).split() == ["short", *words]
+    assert of(4) == ["one line only"] and not of(5) and not of(6)
+    rows = run("clean_lines_dom", "documents", DOCUMENTS, [(k, "a", "en", x) for k, x in docs])
+    assert sorted((r.doc_id, r.pos) for r in rows) == [(r.doc_id, r.pos) for r in out]
