@@ -249,5 +249,5 @@ def evidence_extract(spark, d):
 def wrap(spark, d):
     from driftline.operators import lines as ln
 
-    x = F.left("text", F.lit(4000))
+    x = F.col("text")
     return table(spark, d, "documents").select("doc_id", F.size(ln.soft_lines(x)).alias("soft"), F.size(ln.wrap_single(F.replace(x, F.lit("\n"), F.lit(" ")))).alias("wrapped"), F.size(ln.cut_long_lines(F.split("text", "\n"))).alias("cut"), F.length(ln.without_json_blobs(F.col("text"))).alias("chars"), F.size(t.split_candidates(x)).alias("candidates"), F.length(t.sanitise_raw(F.col("text"))).alias("raw"))

@@ -77,7 +77,7 @@ def hashes(spark, d):
 @query("slugify", r"""
 SELECT doc_id, left(coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(lower(left(text, 80)), '\p{Mn}+', '', 'g'), '[^\p{L}\p{N}]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'chunk'), 48) AS slug FROM documents""")
 def slugs(spark, d):
-    return table(spark, d, "documents").select("doc_id", t.slug(F.left("text", F.lit(80))).alias("slug"))
+    return table(spark, d, "documents").select("doc_id", t.slug(F.col("text")).alias("slug"))
 
 
 @query("entities_and_letters", """
@@ -320,7 +320,7 @@ def candidates(spark, d):
 
 @query("nfkc_clean")
 def nfkc(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.sha1(t.nfkc(F.col("text"))).alias("sha1"), t.slug_ascii(F.left("text", F.lit(40))).alias("slug"))
+    return table(spark, d, "documents").select("doc_id", F.sha1(t.nfkc(F.col("text"))).alias("sha1"), t.slug_ascii(F.col("text")).alias("slug"))
 
 
 @query("pair_snippets")

@@ -59,3 +59,13 @@ def test_clean_lines_dom(spark, run):
     assert of(4) == ["one line only"] and not of(5) and not of(6)
     rows = run("clean_lines_dom", "documents", DOCUMENTS, [(k, "a", "en", x) for k, x in docs])
     assert sorted((r.doc_id, r.pos) for r in rows) == [(r.doc_id, r.pos) for r in out]
+
+
+def test_texts_are_whole(run):
+    flat = "one two three four. " * 400
+    tail = "-" * 90 + " after the marks"
+    docs = [(1, "a", "en", flat), (2, "a", "en", tail)]
+    r = {x.doc_id: x for x in run("split_and_wrap", "documents", DOCUMENTS, docs)}
+    assert r[1].wrapped * 140 >= len(flat) - 1 and r[1].soft * 140 >= len(flat) - 400 and r[1].candidates >= 400
+    assert {x.doc_id: x.slug for x in run("nfkc_clean", "documents", DOCUMENTS, docs)} == {1: "-".join(["one-two-three-four"] * 400), 2: "after-the-marks"}
+    assert {x.doc_id: x.slug for x in run("slugify", "documents", DOCUMENTS, docs)} == {1: "-".join(["one-two-three-four"] * 3)[:48], 2: "after-the-marks"}
