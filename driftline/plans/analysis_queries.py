@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from driftline.functions import sets
@@ -170,10 +171,16 @@ def pipeline(spark, d):
 
 @query("template_diff_metrics")
 def template_diff(spark, d):
-    """Chunk changes of every conversation between its first and second half of turns."""
+    """Chunk changes of every conversation between its first and second half of turns.
+
+    A turn's chunk id is its place in its half; a middle turn is in the second.
+    """
     c = table(spark, d, "conversations").select("conv_id", "turn", "text")
-    v = c.groupBy("conv_id", (F.col("turn") % 4).alias("id"), (F.col("turn") % 2).alias("ver")).agg(F.min("text").alias("text"))
-    j = diffs.chunk_full_outer(v.where("ver = 0"), v.where("ver = 1").withColumn("id", F.col("id") - 1), ["conv_id", "id"])
+    n = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "text")) - 1
+    half = F.floor(F.count("*").over(Window.partitionBy("conv_id")) / 2)
+    v = c.withColumns({"n": n, "half": half})
+    v = v.select("conv_id", (F.col("n") >= F.col("half")).alias("later"), F.when(F.col("n") < F.col("half"), F.col("n")).otherwise(F.col("n") - F.col("half")).alias("id"), "text")
+    j = diffs.chunk_full_outer(v.where("not later"), v.where("later"), ["conv_id", "id"])
     return diffs.template_diff_metrics(j, "conv_id")
 
 

@@ -69,3 +69,15 @@ def test_texts_are_whole(run):
     assert r[1].wrapped * 140 >= len(flat) - 1 and r[1].soft * 140 >= len(flat) - 400 and r[1].candidates >= 400
     assert {x.doc_id: x.slug for x in run("nfkc_clean", "documents", DOCUMENTS, docs)} == {1: "-".join(["one-two-three-four"] * 400), 2: "after-the-marks"}
     assert {x.doc_id: x.slug for x in run("slugify", "documents", DOCUMENTS, docs)} == {1: "-".join(["one-two-three-four"] * 3)[:48], 2: "after-the-marks"}
+
+
+CONVERSATIONS = "conv_id bigint, turn bigint, role string, text string"
+
+
+def test_template_diff_metrics(run):
+    first = [f"alpha{i} beta gamma" for i in range(5)]
+    later = [first[0], "quite another text", *first[2:]]
+    turns = {1: first + later, 2: ["a", "b", "a"], 3: ["alone"]}
+    rows = run("template_diff_metrics", "conversations", CONVERSATIONS, [(c, 3 * k, "user", x) for c, xs in turns.items() for k, x in enumerate(xs)])
+    got = {r.conv_id: (r.chunks, r.added, r.removed, r.changed) for r in rows}
+    assert got == {1: (5, 0, 0, 1), 2: (2, 1, 0, 1), 3: (1, 1, 0, 0)}
