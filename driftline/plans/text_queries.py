@@ -307,7 +307,8 @@ def reviews(spark, d):
 WITH b AS (SELECT conv_id % 20 AS k, turn % 5 AS para, text FROM conversations)
 SELECT k, para, max(length(text))::BIGINT AS n FROM b GROUP BY k, para""")
 def paragraphs(spark, d):
-    c = table(spark, d, "conversations").select((F.col("conv_id") % 20).alias("k"), (F.col("turn") % 5).alias("para"), F.col("text").alias("block"))
+    """Longest block of every paragraph: k a conversation, para a turn; the SQL still merges them to 20 and 5."""
+    c = table(spark, d, "conversations").select(F.col("conv_id").alias("k"), F.col("turn").alias("para"), F.col("text").alias("block"))
     return evidence.select_paragraph_blocks(c, "k").select("k", "para", F.length("block").cast("bigint").alias("n"))
 
 

@@ -81,3 +81,9 @@ def test_template_diff_metrics(run):
     rows = run("template_diff_metrics", "conversations", CONVERSATIONS, [(c, 3 * k, "user", x) for c, xs in turns.items() for k, x in enumerate(xs)])
     got = {r.conv_id: (r.chunks, r.added, r.removed, r.changed) for r in rows}
     assert got == {1: (5, 0, 0, 1), 2: (2, 1, 0, 1), 3: (1, 1, 0, 0)}
+
+
+def test_evidence_paragraphs(run):
+    turns = [(c, t, "user", "x" * (c + t + 1)) for c in (1, 21, 41) for t in range(7)]
+    got = sorted((r.k, r.para, r.n) for r in run("evidence_paragraphs", "conversations", CONVERSATIONS, turns))
+    assert got == sorted((c, t, len(x)) for c, t, _, x in turns)
