@@ -195,7 +195,7 @@ def lenient(spark, d):
 SELECT event_id, event_id % 2 = 0 AS important, event_type AS category FROM events WHERE event_id % 5 > 0""")
 def judge(spark, d):
     raw = F.concat(F.lit('Answer: {"important":'), F.when(F.col("event_id") % 2 == 0, "true").otherwise("false"), F.lit(',"category":"'), "event_type", F.lit('"}'))
-    x = table(spark, d, "events").where("event_id % 5 > 0").select("event_id", t.parse_decision(raw).alias("x"))
+    x = table(spark, d, "events").select("event_id", t.parse_decision(raw).alias("x"))  # the SQL still leaves out a fifth
     return x.select("event_id", "x.important", "x.category")
 
 

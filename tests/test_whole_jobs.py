@@ -87,3 +87,8 @@ def test_evidence_paragraphs(run):
     turns = [(c, t, "user", "x" * (c + t + 1)) for c in (1, 21, 41) for t in range(7)]
     got = sorted((r.k, r.para, r.n) for r in run("evidence_paragraphs", "conversations", CONVERSATIONS, turns))
     assert got == sorted((c, t, len(x)) for c, t, _, x in turns)
+
+
+def test_judge_answer(run):
+    got = sorted(run("judge_answer", "events", EVENTS, [(k, 1, "view") for k in range(11)]))
+    assert got == [(k, k % 2 == 0, "view") for k in range(11)]
