@@ -10,13 +10,15 @@ Defined results:
 * a page whose url is null or has no http(s) host gets a null host and is kept.
 * null or empty html has no links; very long html is searched whole.
 * links without a host are the page's own host's and are no edge.
-* without seeds on one side, that side's rank is 0 for every host.
+* without seeds on one side, that side's rank is 0 for every host; if seeds are
+  named but none is among the hosts, a warning says so.
 * repeated pages count their links again; other columns are never read; an
   empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -97,6 +99,8 @@ def host_decisions(pages: DataFrame, s: Settings = Settings()) -> DataFrame:
     for name, suffixes, reverse in (("trust", s.trusted, False), ("distrust", s.blocked, True)):
         seeds = hosts.select("host", _of(F.col("host"), suffixes).cast("double").alias("s"))
         total = seeds.agg(F.sum("s").alias("all"))
+        if suffixes and total.first()["all"] == 0:
+            warnings.warn(f"op6_url_link_graph: no host matches the seeds of {name} {suffixes}, so it is 0 for all hosts", stacklevel=2)
         seeded = seeds.crossJoin(F.broadcast(total)).select("host", F.coalesce(F.try_divide("s", "all"), F.lit(0.0)).alias("seed"))
         out = out.join(personalised_rank(seeded, _shares(edges, reverse), s).withColumnRenamed("rank", name), "host")
     return out.withColumn("keep", F.col("distrust") - F.col("trust") <= s.threshold)

@@ -92,3 +92,16 @@ def test_evidence_paragraphs(run):
 def test_judge_answer(run):
     got = sorted(run("judge_answer", "events", EVENTS, [(k, 1, "view") for k in range(11)]))
     assert got == [(k, k % 2 == 0, "view") for k in range(11)]
+
+
+def test_link_graph_says_when_no_seed_matches(spark):
+    import warnings
+
+    from driftline.llm import link_graph
+
+    pages = lambda *hosts: spark.createDataFrame([(k, f"http://{h}/", "") for k, h in enumerate(hosts)], "page_id bigint, url string, html string")
+    with pytest.warns(UserWarning, match="no host matches the seeds of distrust"):
+        link_graph.host_decisions(pages("a.example.org", "b.example.com"))
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", UserWarning)
+        link_graph.host_decisions(pages("a.example.org", "tionsh.example.net"))
