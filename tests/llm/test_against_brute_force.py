@@ -177,45 +177,117 @@ def _grams(text, n=3):
     return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if len(words) >= n else ({tuple(words)} if words else set())
 
 
+def _linked(sets: dict, threshold: float = 0.5):
+    """Links and classes by comparing all pairs that share an n-gram."""
+    inverted: dict = {}
+    for i, x in sets.items():
+        for g in x:
+            inverted.setdefault(g, []).append(i)
+    shared = Counter((a, b) for ids in inverted.values() for x, a in enumerate(ids) for b in ids[x + 1 :])
+    links, parent = Counter(), {i: i for i in sets}
+    find = lambda x: x if parent[x] == x else find(parent[x])
+    for (a, b), n in shared.items():
+        if n / (len(sets[a]) + len(sets[b]) - n) >= threshold:
+            links[a] += 1
+            links[b] += 1
+            parent[max(find(a), find(b))] = min(find(a), find(b))
+    return links, {i: find(i) for i in sets}
+
+
 def test_near_dups(spark):
     docs = common.read(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
     sets = {r.doc_id: _grams(r.text) for r in docs.collect()}
-    inverted: dict = {}
-    for i, s in sets.items():
-        for g in s:
-            inverted.setdefault(g, []).append(i)
-    common_grams = Counter((a, b) for ids in inverted.values() for x, a in enumerate(ids) for b in ids[x + 1 :])
-    want = {}
-    for (a, b), n in common_grams.items():
-        j = n / (len(sets[a]) + len(sets[b]) - n)
-        if j >= 0.5:
-            want[tuple(sorted((a, b)))] = j
-    got = {}
-    for r in near_dups.join(docs).collect():
-        for a in r.doc_ids:
-            for b in r.partner_ids:
-                if a != b:
-                    got[tuple(sorted((a, b)))] = r.jaccard
-    assert set(got) <= set(want)
-    assert len(got) >= 0.95 * len(want)
-    assert all(abs(want[k] - v) < 1e-6 for k, v in got.items())
-    parent = {}
-    find = lambda x: x if parent.setdefault(x, x) == x else find(parent[x])
-    for a, b in got:
-        parent[max(find(a), find(b))] = min(find(a), find(b))
-    gone = {x for x in list(parent) if find(x) != x}
-    assert {r.doc_id for r in near_dups.one_of_each_group(docs).collect()} == set(sets) - gone
+    links, least = _linked(sets)
+    rows = near_dups.classes(docs).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(sets)
+    assert all(r.links <= links[r.doc_id] for r in rows)
+    assert sum(r.links for r in rows) >= 0.95 * sum(links.values())
+    assert sum(r.class_id == least[r.doc_id] for r in rows) >= 0.99 * len(rows)
+    kept = {r.doc_id for r in near_dups.one_of_each_group(docs).collect()}
+    assert kept == {r.doc_id for r in rows if r.class_id == r.doc_id}
+
+
+def _variants(rng, words: int, edits: int, n: int, vocabulary: int = 4000) -> list[str]:
+    """n texts, each an original with some words changed."""
+    first = rng.integers(0, vocabulary, words)
+    out = []
+    for _ in range(n):
+        x = first.copy()
+        x[rng.choice(words, edits, replace=False)] = rng.integers(0, vocabulary, edits)
+        out.append(" ".join(f"w{i}" for i in x))
+    return out
+
+
+@pytest.mark.parametrize("edits", [4, 12])  # 12: only few are in the core
+def test_near_dups_in_blocks(spark, edits):
+    rng = np.random.default_rng(edits)
+    texts = [t for _ in range(2) for t in _variants(rng, 120, edits, 40)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, *texts[::7]])], "doc_id bigint, text string").repartition(4)
+    sets = {r.doc_id: _grams(r.text) for r in docs.collect()}
+    links, least = _linked(sets)
+    whole, blocks = ({r.doc_id: (r.class_id, r.links) for r in near_dups.classes(docs, near_dups.Settings(task_grams=n)).collect()} for n in (10**6, 700))
+    assert whole == blocks  # seven blocks a group
+    assert {i: c for i, (c, _) in blocks.items()} == least
+    assert sum(n for _, n in blocks.values()) >= (0.95 if edits > 4 else 1) * sum(links.values()) and all(n <= links[i] for i, (_, n) in blocks.items())
 
 
-def test_jaccard_blocks():
+def test_prefixes_are_shortened_until_the_recall(spark):
+    s, rng = near_dups.Settings(), np.random.default_rng(3)
+    depth = {}
+    for edits in (1, 22):
+        docs = spark.createDataFrame([(i, t) for i, t in enumerate(t for _ in range(60) for t in _variants(rng, 150, edits, 2))], "doc_id bigint, text string")
+        texts = near_dups.distinct_texts(near_dups.signatures(docs, s))
+        depth[edits] = near_dups.adaptive_depth(near_dups.estimated(near_dups.edges(texts, s), texts, s), s)
+    assert s.stop_depth() == 4 and depth == {1: 6, 22: 4}
+
+
+def test_node_edges():
+    rng = np.random.default_rng(2)
+    s = near_dups.Settings(trees=3, depth=3, recall=0.6, window=3)
+    floor = s.stop_depth()
+    assert floor < 3
+    rows = sorted((int(t) << 24 | int(a) << 16 | int(b) << 8 | int(c), i, 0) for i in range(90) for t, (a, b, c) in enumerate(rng.integers(0, 4, (3, 3))))
+    key, s1, s2 = (np.array(x, np.int64) for x in zip(*rows))
+    found = near_dups.node_edges(key, s1, s2, s, (False, False))
+    got = {(int(a), int(b)): (int(n), bool(c)) for n, c, a, _, b, _ in zip(*found)}
+    shared = lambda x, y: next(d for d in range(3, -1, -1) if x >> 8 * (3 - d) == y >> 8 * (3 - d))
+    nodes: dict = {}
+    for k, i, _ in rows:
+        nodes.setdefault(k >> 8 * (3 - floor), []).append((k, i))
+    want: dict = {}
+    for members in nodes.values():
+        small = len(members) <= s.window + 1
+        for x, (k, i) in enumerate(members):
+            for k2, j in members[x + 1 :] if small else members[x + 1 : x + 2]:
+                want.setdefault((i, j), set()).add((shared(k, k2), not small))
+    assert set(got) == set(want) and all(got[p] in want[p] for p in got)
+
+
+def test_edges_join_what_partitions_cut(spark, monkeypatch):
+    """All texts in one node, in many partitions and pieces: they hold together."""
+    monkeypatch.setattr(near_dups, "HELD", 5)
+    s = near_dups.Settings()
+    sig = bytes(240)
+    texts = spark.createDataFrame([(i, i, sig, 1, i, 1) for i in range(200)], "s1 bigint, s2 bigint, signature binary, n_grams bigint, rep bigint, copies bigint").repartition(4)
+    comp = near_dups.components(near_dups.edges(texts, s)).collect()
+    assert len(comp) == 200 and {r.c1 for r in comp} == {0}
+
+
+def test_links_in_block():
     rng = np.random.default_rng(0)
     base = [rng.integers(0, 400, 60) for _ in range(3)]
     sets = [np.unique(np.where(rng.random(60) < 0.15, rng.integers(0, 400, 60), base[i % 3])) for i in range(70)]
-    brute = {(i, j): len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j])) for i in range(70) for j in range(i + 1, 70)}
-    want = {k for k, v in brute.items() if v >= 0.5}
-    got = {(i, j): v for i, j, v in near_dups.jaccard_pairs(sets, 0.5, block=16)}
-    assert set(got) == want and all(abs(brute[k] - v) < 1e-9 for k, v in got.items())
-    assert {(i, j) for i, j, _ in near_dups.jaccard_pairs(sets, 0.5, split=30, block=16)} == {(i, j) for i, j in want if i < 30 <= j}
+    copies = rng.integers(1, 4, 70)
+    j = np.array([[len(np.intersect1d(a, b)) / len(np.union1d(a, b)) for b in sets] for a in sets])
+    linked = (j >= 0.5) & ~np.eye(70, dtype=bool)
+    for block in (16, 512):
+        got = np.zeros((70, 70))
+        for i, k, m in near_dups.similarity_blocks(sets, 30, apart=True, block=block):
+            got[i : i + len(m), k : k + m.shape[1]] = m
+        assert np.allclose(got[:30, 30:], j[:30, 30:]) and not got[30:].any()
+    links, core, label = near_dups.links_in_block(sets, copies, np.ones(70, bool), 5, 0.5)
+    assert (core == (j[5] >= 0.75)).all() and (links == linked @ copies).all()
+    assert len(set(label)) == 3 and all(len(set(label[k::3])) == 1 for k in range(3))
 
 
 def test_components(spark):

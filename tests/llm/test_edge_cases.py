@@ -90,11 +90,11 @@ def test_line_dedup(docs, empty):
 
 
 def test_near_dups(docs, empty):
-    rows = near_dups.join(docs).collect()
-    assert [(r.doc_ids, r.partner_ids, r.jaccard) for r in rows] == [([None, 1, 1], [None, 1, 1], 1.0)]
+    rows = sorted(((r.doc_id, r.class_id, r.links) for r in near_dups.classes(docs).collect()), key=str)
+    assert rows == sorted([(1, 1, 2), (1, 1, 2), (None, 1, 2), *((i, i, 0) for i in range(2, 8))], key=str)
     left = near_dups.one_of_each_group(docs)
     assert left.columns == docs.columns and left.count() == 9  # without another id, nothing goes
-    assert near_dups.join(empty).count() == 0
+    assert near_dups.classes(empty).count() == 0
     assert near_dups.one_of_each_group(empty).count() == 0
 
 
