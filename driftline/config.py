@@ -15,6 +15,8 @@ class EngineConfig:
     # line cleaning
     clean_chars: int = 25_000
     clean_lines: int = 1_400
+    clean_lines_chars: int = 650_000
+    ocr_lines: int = 2_000
     wrap_at: int = 140
     line_most: int = 420
     dedupe_window: int = 80

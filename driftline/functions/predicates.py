@@ -169,13 +169,14 @@ def content_type(kind: Column, text: Column) -> Column:
 
 
 def line_quality(x: Column) -> dict[str, Column]:
-    """Shares of letters, digits and others of what isn't white space; tokens; gibberish."""
-    n = F.length(F.regexp_replace(x, r"\s+", ""))
+    """Shares of letters, digits and others (all but spaces) of the whole line; tokens; gibberish."""
+    n = F.length(x)
     alpha, digit = count(x, r"\p{L}"), count(x, r"\p{N}")
-    long = lambda t: (F.length(t) >= 18) & (count(t, r"\p{L}") == F.length(t)) & (count(t, "(?i)[aeiouyąęó]") / F.length(t) < 0.16)
+    other = n - alpha - digit - count(x, " ")
+    long = lambda t: (count(t, r"\p{L}") >= 18) & (count(t, "(?i)[aeiouyąęó]") / count(t, r"\p{L}") < 0.16)
     parts = F.filter(F.split(x, r"\s+"), lambda t: t != "")
     share = lambda k: F.coalesce(F.try_divide(k, n), F.lit(0.0))
-    return {"alpha": share(alpha), "digit": share(digit), "other": share(n - alpha - digit), "alnum": alpha + digit, "tokens": F.size(parts), "gibberish": F.exists(parts, long)}
+    return {"alpha": share(alpha), "digit": share(digit), "other": share(other), "alnum": alpha + digit, "tokens": F.size(parts), "gibberish": F.exists(parts, long)}
 
 
 def _judged(x: Column, f) -> Column:
@@ -184,7 +185,7 @@ def _judged(x: Column, f) -> Column:
 
 
 def junk_line(x: Column) -> Column:
-    numeric = like(x, r"^[^\p{L}]*[0-9]{2,}[^\p{L}]*$")
+    numeric = like(x, r"^[0-9]{2,}([.,][0-9]+)?[%+]?$")
     return _judged(x, lambda q: ((q["alnum"] < 2) & ~numeric) | ((q["alpha"] < 0.12) & (q["digit"] < 0.08) & (q["other"] > 0.45) & (F.length(x) < 140)))
 
 

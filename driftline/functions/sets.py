@@ -29,15 +29,24 @@ def shingles(x: Column, n: int = 1) -> Column:
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    """Of two sets: 1 if both are empty, 0 if one is."""
-    both = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(both / F.size(F.array_union(a, b)))
+    """Of two sets (arrays without repeats): 1 if both are empty, 0 if one is."""
+
+    def of(v: Column) -> Column:
+        both, all_ = F.size(F.array_intersect(v["a"], v["b"])), F.size(v["a"]) + F.size(v["b"])
+        return F.when(all_ == 0, 1.0).otherwise(let(both, lambda k: k / (all_ - k)))
+
+    return let(F.struct(a.alias("a"), b.alias("b")), of)
+
+
+def hashed(tokens: Column) -> Column:
+    """The set of 64-bit hashes of tokens: eight bytes each, and compared without strings."""
+    return F.array_distinct(F.transform(tokens, lambda x: F.xxhash64(x)))
 
 
 def text_diff_score(a: Column, b: Column) -> Column:
     """1 - Jaccard of case-sensitive tokens between white space."""
     x, y = F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))
-    return 1 - jaccard(F.array_distinct(tokens_ws(x, lower=False)), F.array_distinct(tokens_ws(y, lower=False)))
+    return 1 - jaccard(hashed(tokens_ws(x, lower=False)), hashed(tokens_ws(y, lower=False)))
 
 
 def numeric_ratio_delta(a: Column, b: Column) -> Column:

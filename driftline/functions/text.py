@@ -65,11 +65,6 @@ def _normalised(form: str):
     return F.arrow_udf(run, "string")
 
 
-def nfkc(x: Column) -> Column:
-    """Compatibility composition, for which Spark has no function."""
-    return _normalised("NFKC")(x)
-
-
 def slug_ascii(x: Column) -> Column:
     """Accents stripped by decomposition, the rest dashed."""
     bare = F.regexp_replace(_normalised("NFKD")(x), r"\p{Mn}+", "")
@@ -129,25 +124,6 @@ def strip_controls(x: Column) -> Column:
     return F.regexp_replace(x, CONTROLS, "")
 
 
-def strip_icons(x: Column) -> Column:
-    """For documents mostly in Latin letters: CJK noise and lone interface glyphs."""
-    bare = F.regexp_replace(x, r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]+", "")
-    return F.trim(F.regexp_replace(bare, r"(^|\s)[\p{So}\p{Sk}▶►✓✔×☰…]+(?=\s|$)", "$1"))
-
-
-def fix_spacing(x: Column) -> Column:
-    for pattern, to in (
-        (r"([0-9])(\p{Ll})", "$1 $2"),
-        (r"(\p{Ll})(\p{Lu})", "$1 $2"),
-        (r"([,;:!?])(\p{L})", "$1 $2"),
-        (r"(\p{L})\(", "$1 ("),
-        (r"\)(\p{L})", ") $1"),
-        (r" {2,}", " "),
-    ):
-        x = F.regexp_replace(x, pattern, to)
-    return x
-
-
 def fingerprint(x: Column) -> Column:
     """Letters and digits only, lower case: what makes two lines the same."""
     return F.trim(F.regexp_replace(F.lower(x), r"[\p{P}\p{S}\s\x{00A0}]+", " "))
@@ -260,19 +236,6 @@ def image_kind(x: Column) -> Column:
     return F.when(F.startswith(x, F.lit("iVBOR")), "png").when(F.startswith(x, F.lit("/9j/")), "jpg").otherwise("bin")
 
 
-def sanitise_raw(x: Column) -> Column:
-    """Tags, comments, long base64, state blobs, addresses and calls out of raw text."""
-    for pattern in (r"(?s)<!--.*?-->", r"(?is)<(?:script|style|noscript|template)[^>]*>.*?</(?:script|style|noscript|template)>", r"(?s)<[^>]+>", r"[A-Za-z0-9+/=]{250,}", r"(?i)(?:window\.)?__(?:NUXT|NEXT_DATA)__\s*=?\s*\S*", r"https?://\S+", r"(?:^|\s)/api/\S+"):
-        x = F.regexp_replace(x, pattern, " ")
-    return F.trim(x)
-
-
-def split_candidates(x: Column) -> Column:
-    """Lines; with fewer than two newlines, parts at bullets, pipes, tabs and, if long, sentences."""
-    parts = F.when(F.size(F.split(x, "\n")) > 2, F.split(x, "\n")).when(F.length(x) >= 450, F.split(x, r"(?<=[!.?])\s+|\s*[\t•|]\s*")).otherwise(F.split(x, r"\s*[•|\t]\s*"))
-    return F.filter(F.transform(parts, lambda s_: F.trim(s_)), lambda t: t != "")
-
-
 def render_marked(lines: Column, paras: Column) -> Column:
     """Lines with their paragraph's mark at the first line of each."""
     mark = lambda x, i: F.when((F.get(paras, i).isNotNull()) & (F.array_position(paras, F.get(paras, i)) == i + 1), F.concat(para_tag(F.get(paras, i)), F.lit(" "), x)).otherwise(x)

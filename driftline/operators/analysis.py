@@ -80,9 +80,8 @@ def change_pipeline(snapshots: DataFrame, prompt: Column | None = None, judge: P
     sees only pairs that got through.
     """
     p = diffs.previous(snapshots, "monitor_id", "version", "title", "text").where("prev_version is not null")
-    p = diffs.text_scores(p, "prev_text", "text").withColumn("pair", F.concat_ws("/", "monitor_id", "version"))
-    metrics = diffs.chunk_metrics(diffs.chunk_band(p, "pair", "prev_text", "text"), "pair")
-    d = diffs.machine_diff(p.join(metrics, "pair", "left"))
+    p = p.withColumns({"text_diff": sets.text_diff_score(F.col("prev_text"), F.col("text")), "m": diffs.chunk_metrics(diffs.band_best(diffs.chunk_sets(F.col("prev_text")), diffs.chunk_sets(F.col("text"))))})
+    d = diffs.machine_diff(p.select("*", "m.chunks", "m.changed", "m.significant").drop("m"))
     ask = F.lit(None).cast("string") if prompt is None else prompt
     d = d.where(~predicates.early_exit(F.col("any_change"), F.col("significant"), F.lit(False), F.lit(False), ask))
     kws = F.coalesce(evidence.keywords(ask), F.array().cast("array<string>"))

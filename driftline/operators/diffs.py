@@ -10,43 +10,92 @@ from driftline.functions import sets
 from driftline.functions import text as t
 
 
-def previous(df: DataFrame, key: str, order: str, *columns: str) -> DataFrame:
-    """As-of join with the version before: ``prev_<column>`` of each column."""
-    w = Window.partitionBy(key).orderBy(order)
-    return df.withColumns({f"prev_{c}": F.lag(c).over(w) for c in (order, *columns)})
+#: Versions of one key that one task puts in order, about; a key of more is cut by quantiles of its order.
+VERSIONS_A_TASK = 65_536
+_CUTS = [i / 256 for i in range(1, 256)]
 
 
-def text_scores(pairs: DataFrame, before: str, after: str) -> DataFrame:
-    """Adds text_diff and word_jaccard of a pair of texts."""
-    b, a = F.col(before), F.col(after)
-    words = lambda x: F.array_distinct(sets.words(F.coalesce(x, F.lit(""))))
-    return pairs.withColumns({"text_diff": sets.text_diff_score(b, a), "word_jaccard": sets.jaccard(words(b), words(a))})
+def _cuts(df: DataFrame, key: str, order: str, most: int) -> DataFrame:
+    """key, cuts of the keys with more than ``most`` versions: a row for each ``most`` rows at most, so small enough to broadcast."""
+    hot = df.groupBy(key).agg(F.count("*").alias("__n")).where((F.col("__n") > most) & F.col(key).isNotNull()).select(key)
+    return df.select(key, order).join(F.broadcast(hot), key).groupBy(key).agg(F.percentile_approx(order, _CUTS).alias("__cuts"))
+
+
+def previous(df: DataFrame, key: str, order: str, *columns: str, versions_a_task: int = VERSIONS_A_TASK) -> DataFrame:
+    """As-of join with the version before: ``prev_<column>`` of each column.
+
+    A key with many versions (``order`` is numeric there) is ordered in
+    stretches, each a task's; the first of a stretch gets its predecessor from
+    the end of the one before.  Rows of a null key are one stretch.
+    """
+    names = (order, *columns)
+    numeric = dict(df.dtypes)[order] in ("tinyint", "smallint", "int", "bigint", "float", "double")
+    if not numeric:
+        w = Window.partitionBy(key).orderBy(order)
+        return df.withColumns({f"prev_{c}": F.lag(c).over(w) for c in names})
+    cut = df.join(F.broadcast(_cuts(df, key, order, versions_a_task)), key, "left")
+    at = F.when(F.col("__cuts").isNull(), 0).otherwise(F.size(F.filter("__cuts", lambda c: c < F.col(order))))
+    cut = cut.withColumns({"__hot": F.col("__cuts").isNotNull(), "__at": at}).drop("__cuts")
+    w = Window.partitionBy(key, "__at").orderBy(order)
+    inner = cut.withColumns({f"prev_{c}": F.lag(c).over(w) for c in names} | {"__first": F.row_number().over(w) == 1})
+    # the last row of each stretch, as the predecessor of the next stretch's first
+    ends = cut.where("__hot").groupBy(key, "__at").agg(F.max(order).alias("__end"))
+    ends = ends.select(F.col(key).alias("__k"), F.lead("__at").over(Window.partitionBy(key).orderBy("__at")).alias("__a"), "__end").where("__a is not null")
+    last = df.join(F.broadcast(ends), (F.col(key) == F.col("__k")) & (F.col(order) == F.col("__end")))  # 256 rows a hot key at most
+    last = last.groupBy("__k", "__a").agg(F.any_value(F.struct(*names)).alias("__row"))
+    met = inner.join(last, (F.col(key) == F.col("__k")) & (F.col("__at") == F.col("__a")), "left")
+    out = {f"prev_{c}": F.when(F.col("__first"), F.col(f"__row.{c}")).otherwise(F.col(f"prev_{c}")) for c in names}
+    return met.withColumns(out).drop("__k", "__a", "__row", "__first", "__hot", "__at")
+
+
+def token_sets(df: DataFrame, text: str) -> DataFrame:
+    """Adds tokens and words, the hashed sets that scores compare: found once a version, and what moves instead of its text."""
+    return df.withColumns({"tokens": sets.hashed(sets.tokens_ws(F.coalesce(text, F.lit("")), lower=False)), "words": sets.hashed(sets.words(F.coalesce(text, F.lit(""))))})
+
+
+def set_scores(pairs: DataFrame) -> DataFrame:
+    """Adds text_diff and word_jaccard of tokens and words with those before; no version before is an empty text."""
+    none = F.array().cast("array<bigint>")
+    before = lambda c: F.coalesce(f"prev_{c}", none)
+    return pairs.withColumns({"text_diff": 1 - sets.jaccard(before("tokens"), F.col("tokens")), "word_jaccard": sets.jaccard(before("words"), F.col("words"))})
+
+
+def chunk_sets(x: Column) -> Column:
+    """Hashed words of each character chunk, and whether it has a digit."""
+    chunks = sets.char_chunks(F.coalesce(x, F.lit("")), DEFAULT.chunk_chars, DEFAULT.chunk_overlap, DEFAULT.chunks_most)
+    return F.transform(chunks, lambda c: F.struct(sets.hashed(sets.words(c)).alias("words"), F.regexp_like(c, F.lit("[0-9]")).alias("digits")))
+
+
+def band_best(before: Column, after: Column, band: int = DEFAULT.band) -> Column:
+    """struct(best, digits) of each new chunk: its best Jaccard among old ones at most ``band`` away, 0 if there is none."""
+    def near(i: Column) -> Column:
+        first = F.greatest(i - band, F.lit(0))
+        return F.slice(before, first + 1, i + band + 1 - first)
+
+    best = lambda c, i: F.array_max(F.transform(near(i), lambda o: sets.jaccard(c["words"], o["words"])))
+    return F.transform(after, lambda c, i: F.struct(F.coalesce(best(c, i), F.lit(0.0)).alias("best"), c["digits"].alias("digits")))
 
 
 def chunk_band(pairs: DataFrame, key: str, before: str, after: str) -> DataFrame:
-    """key, i, best, digits: each new character chunk's best Jaccard among old ones at most ``band`` away."""
-    chunks = lambda c: sets.char_chunks(F.coalesce(F.col(c), F.lit("")), DEFAULT.chunk_chars, DEFAULT.chunk_overlap, DEFAULT.chunks_most)
-    new = pairs.select(key, F.posexplode(chunks(after)).alias("i", "new")).select(key, "i", "new", F.array_distinct(sets.words(F.col("new"))).alias("new_set"))
-    old = pairs.select(F.col(key).alias("__k"), F.posexplode(chunks(before)).alias("j", "old")).select("__k", "j", F.array_distinct(sets.words(F.col("old"))).alias("old_set"))
-    near = new.join(old, (F.col(key) == F.col("__k")) & F.col("j").between(F.col("i") - DEFAULT.band, F.col("i") + DEFAULT.band), "left")
-    score = F.when(F.col("old_set").isNull(), 0.0).otherwise(sets.jaccard(F.col("new_set"), F.col("old_set")))
-    return near.groupBy(key, "i").agg(F.max(score).alias("best"), F.max(F.col("new").rlike("[0-9]")).alias("digits"))
-
-
-def chunk_metrics(band: DataFrame, key: str) -> DataFrame:
-    """Changed chunks of each pair and whether that is significant."""
-    diff = 1 - F.col("best")
-    changed = diff >= F.when(F.col("digits"), DEFAULT.changed_at_digits).otherwise(DEFAULT.changed_at)
-    g = band.groupBy(key).agg(
-        F.count("*").alias("chunks"),
-        F.count_if(changed).alias("changed"),
-        F.count_if(changed & F.col("digits")).alias("changed_digits"),
-        F.max(diff).alias("max_diff"),
-        F.avg("best").alias("avg_similarity"),
-    )
-    ratio = F.col("changed") / F.col("chunks")
-    at = F.when(F.col("changed_digits") > 0, DEFAULT.significant_diff_digits).otherwise(DEFAULT.significant_diff)
-    return g.withColumns({"ratio": ratio, "significant": (F.col("changed") > 0) & ((F.col("max_diff") >= at) | (ratio >= DEFAULT.significant_ratio) | (F.col("changed") >= DEFAULT.significant_changed))})
+    """key, i, best, digits: ``band_best`` of two texts, a row for each new chunk."""
+    p = pairs.select(key, chunk_sets(F.col(before)).alias("b"), chunk_sets(F.col(after)).alias("a"))
+    return p.select(key, F.posexplode(band_best(F.col("b"), F.col("a"))).alias("i", "x")).select(key, "i", "x.best", "x.digits")
+
+
+def chunk_metrics(band: Column) -> Column:
+    """struct of chunks, changed, changed_digits, max_diff, avg_similarity, ratio and significant of a pair's ``band_best``; null without chunks."""
+
+    def of(v: Column) -> Column:
+        diffs = F.transform(v, lambda x: 1 - x["best"])
+        changed = F.filter(v, lambda x: 1 - x["best"] >= F.when(x["digits"], DEFAULT.changed_at_digits).otherwise(DEFAULT.changed_at))
+        n, c, cd = F.size(v), F.size(changed), F.size(F.filter(changed, lambda x: x["digits"]))
+        at = F.when(cd > 0, DEFAULT.significant_diff_digits).otherwise(DEFAULT.significant_diff)
+        significant = (c > 0) & ((F.array_max(diffs) >= at) | (c / n >= DEFAULT.significant_ratio) | (c >= DEFAULT.significant_changed))
+        mean = F.aggregate(v, F.lit(0.0), lambda z, x: z + x["best"]) / n
+        parts = {"chunks": n.cast("bigint"), "changed": c.cast("bigint"), "changed_digits": cd.cast("bigint"), "max_diff": F.array_max(diffs), "avg_similarity": mean, "ratio": c / n, "significant": significant}
+        return F.when(n > 0, F.struct(*[x.alias(k) for k, x in parts.items()]))
+
+    return t.let(band, of)
 
 
 def chunk_full_outer(before: DataFrame, after: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -55,7 +104,7 @@ def chunk_full_outer(before: DataFrame, after: DataFrame, keys: list[str], text:
     a = after.select(*keys, F.col(text).alias("after"))
     j = b.join(a, keys, "full")
     both = F.col("before").isNotNull() & F.col("after").isNotNull()
-    delta = F.when(both, 1 - sets.jaccard(F.array_distinct(sets.tokens_ws(F.col("before"))), F.array_distinct(sets.tokens_ws(F.col("after")))))
+    delta = F.when(both, 1 - sets.jaccard(sets.hashed(sets.tokens_ws(F.col("before"))), sets.hashed(sets.tokens_ws(F.col("after")))))
     numeric = F.when(both, sets.numeric_ratio_delta(F.col("before"), F.col("after")))
     j = j.withColumns({"delta": delta, "numeric_delta": numeric})
     at = F.when(F.col("numeric_delta") >= 0.12, 0.08).otherwise(0.12)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from driftline.config import DEFAULT
 from driftline.functions import predicates as p
 from driftline.functions import text as t
+from driftline.operators import line_folds
 
 
 def explode_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -25,33 +26,34 @@ def line_frequency(lines: DataFrame, key: str) -> DataFrame:
 
 
 def drop_boilerplate(lines: DataFrame, key: str) -> DataFrame:
-    """Of short interface-like lines that repeat in a document, the first only."""
+    """Of short interface-like lines that repeat in a document, the first only; lines of no letter or digit all stay."""
     f = line_frequency(lines, key)
-    nth = F.row_number().over(Window.partitionBy(key, "fp").orderBy("pos"))
-    ui = p.ui_like(F.col("line"))
-    f = f.withColumn("nth", nth)
-    return f.where(~((F.col("freq") >= DEFAULT.boilerplate_freq) & (F.length("line") <= DEFAULT.boilerplate_chars) & ui & (F.col("nth") > 1))).drop("nth", "freq", "fp")
+    repeats = (F.col("fp") != "") & (F.col("freq") >= DEFAULT.boilerplate_freq) & (F.length("line") <= DEFAULT.boilerplate_chars) & p.ui_like(F.col("line"))
+    so_far = Window.partitionBy(key, "fp").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    f = f.withColumn("__ui", repeats).withColumn("__nth", F.sum(F.col("__ui").cast("int")).over(so_far))
+    return f.where(~(F.col("__ui") & (F.col("__nth") > 1))).drop("__nth", "__ui", "freq", "fp")
 
 
 def dedupe_exact(lines: DataFrame, key: str) -> DataFrame:
-    """First of equal lines in each document."""
+    """First of equal lines in each document; lines of white space alone all stay."""
     w = Window.partitionBy(key, "k").orderBy("pos")
-    return lines.withColumn("k", t.exact_key(F.col("line"))).withColumn("nth", F.row_number().over(w)).where("nth = 1").drop("k", "nth")
+    return lines.withColumn("k", t.exact_key(F.col("line"))).withColumn("nth", F.row_number().over(w)).where("nth = 1 or k = ''").drop("k", "nth")
 
 
 def char_budget(lines: DataFrame, key: str, chars: int, n_lines: int) -> DataFrame:
-    """The start of each document, so many lines and characters at most."""
+    """The start of each document: so many lines at most, and of these so many characters, newlines between them included."""
     w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return lines.withColumn("used", F.sum(F.length("line") + 1).over(w)).withColumn("nth", F.count("*").over(w)).where((F.col("used") <= chars) & (F.col("nth") <= n_lines)).drop("nth")
+    return lines.withColumn("used", F.sum(F.length("line") + 1).over(w) - 1).withColumn("nth", F.count("*").over(w)).where((F.col("used") <= chars) & (F.col("nth") <= n_lines)).drop("nth")
+
+
+def _lines_of(docs: DataFrame, key: str, text: str, fold: Callable[[str | None], list[str]]) -> DataFrame:
+    """key, pos, line: each document's lines from one pass over its text in the row."""
+    return docs.select(key, F.posexplode(_udf(fold, "array<string>")(F.col(text))).alias("pos", "line"))
 
 
 def clean_dom(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """The DOM line pipeline: cut, wrap, collapse, state blobs, long lines, junk, boilerplate, dedupe, caps."""
-    whole = F.array_join(wrap_single(F.left(F.col(text), F.lit(DEFAULT.clean_chars))), "\n")
-    raw = docs.select(key, without_json_blobs(t.collapse_lines(t.normalise_newlines(whole))).alias("text"))
-    raw = raw.select(key, F.array_join(cut_long_lines(F.transform(F.split("text", "\n"), lambda x: F.trim(x))), "\n").alias("text"))
-    lines = explode_lines(raw, key, "text").where(~p.junk_line(F.col("line")))
-    return char_budget(dedupe_exact(drop_boilerplate(lines, key), key), key, DEFAULT.clean_chars, DEFAULT.clean_lines)
+    """key, pos, line: the DOM line pipeline."""
+    return _lines_of(docs, key, text, line_folds.dom_lines)
 
 
 def paragraph_index(lines: DataFrame, key: str) -> DataFrame:
@@ -103,84 +105,37 @@ def _udf(f: Callable, schema: str):
     return F.arrow_udf(run, schema)
 
 
-def sliding_keep(keys: list[str] | None, window: int) -> list[bool]:
-    """Whether to keep each line: not if the same one was kept within the window before."""
-    last: dict[str, int] = {}
-    out = []
-    for i, k in enumerate(keys or []):
-        keep = k not in last or i - last[k] > window
-        if keep:
-            last[k] = i
-        out.append(keep)
-    return out
-
-
 def dedupe_sliding(lines: Column, window: int = DEFAULT.dedupe_window) -> Column:
-    """Array of lines without those whose key was kept at most ``window`` positions ago."""
-    fold = _udf(lambda ls, ks: [x for x, k in zip(ls or [], sliding_keep(ks, window)) if k], "array<string>")
+    """Array of lines without those whose key, unless empty, was kept at most ``window`` positions ago."""
+    fold = _udf(lambda ls, ks: [x for x, k in zip(ls or [], line_folds.keep_within_window(ks or [], window)) if k], "array<string>")
     return fold(lines, F.transform(lines, t.exact_key))
 
 
-def wrap_words(text: str | None, width: int) -> list[str]:
-    """Greedy word wrap; a longer word is a line of its own."""
-    out: list[str] = []
-    for w in (text or "").split():
-        if out and len(out[-1]) + 1 + len(w) <= width:
-            out[-1] += " " + w
-        else:
-            out.append(w)
-    return out
-
-
 def wrap_single(text: Column, width: int = DEFAULT.wrap_at) -> Column:
     """Lines of a text; one that has no newline though it is long gets wrapped."""
-    wrapped = _udf(lambda x: wrap_words(x, width), "array<string>")(text)
+    wrapped = _udf(lambda x: line_folds.wrap_words(x, width), "array<string>")(text)
     return F.when(F.contains(text, F.lit("\n")) | (F.length(text) < max(600, 3 * width)), F.split(text, "\n")).otherwise(wrapped)
 
 
-def cut_long(line: str | None, most: int = DEFAULT.line_most, pieces: int = 10) -> list[str]:
-    """A line in at most ``pieces`` parts, broken at a space of the last 40 characters if there is one."""
-    rest, out = line or "", []
-    while len(rest) > most and len(out) < pieces - 1:
-        at = rest.rfind(" ", most - 40, most)
-        at = at if at > 0 else most
-        out.append(rest[:at].rstrip())
-        rest = rest[at:].lstrip()
-    return out + [rest if len(rest) <= most else rest[: most - 1] + "…"]
+def cut_long_lines(lines: Column) -> Column:
+    return _udf(lambda ls: [y for x in ls or [] for y in line_folds.pieces_of(x or "", DEFAULT.line_most)], "array<string>")(lines)
 
 
-def cut_long_lines(lines: Column) -> Column:
-    return _udf(lambda ls: [y for x in ls or [] for y in cut_long(x)], "array<string>")(lines)
+def without_json_blobs(text: Column) -> Column:
+    return _udf(lambda x: None if x is None else line_folds.without_state(x), "string")(text)
 
 
-def strip_json_blobs(text: str | None) -> str | None:
-    """Text without balanced brackets that hold machine state."""
-    if not text:
-        return text
-    out, i, n = [], 0, len(text)
-    closing = {"{": "}", "[": "]"}
-    while i < n:
-        c = text[i]
-        if c in closing:
-            depth, j = 0, i
-            while j < min(n, i + 60_000):
-                depth += (text[j] in closing) - (text[j] in "}]")
-                j += 1
-                if not depth:
-                    break
-            body = text[i:j]
-            marks = sum(ch in '[]{}":,\\' for ch in body)
-            if not depth and len(body) >= 300 and marks >= 120 and marks > sum(ch.isalnum() for ch in body):
-                out.append(" ")
-                i = j
-                continue
-        out.append(c)
-        i += 1
-    return "".join(out)
+def sanitised(text: Column) -> Column:
+    return _udf(line_folds.sanitised, "string")(text)
 
 
-def without_json_blobs(text: Column) -> Column:
-    return _udf(strip_json_blobs, "string")(text)
+def candidate_lines(text: Column) -> Column:
+    """Lines of a text that is broken where it has too few breaks, blank ones left out."""
+    return _udf(lambda x: [y for y in map(str.strip, line_folds.candidate_lines(x).split("\n")) if y], "array<string>")(text)
+
+
+def common_form(text: Column) -> Column:
+    return _udf(lambda x: None if x is None else line_folds.common_form(x), "string")(text)
 
 
 SEGMENT = "array<struct<kind: string, from_line: int, to_line: int, text: string>>"
@@ -333,30 +288,8 @@ def soft_lines(text: Column) -> Column:
 
 
 def clean_ocr(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, pos, line: the recognised-text pipeline.
-
-    Normalise, join hyphens, split; controls, glyphs and spacing; junk; repeats
-    within the window; then boilerplate and exact repeats.
-    """
-    x = t.normalise_newlines(t.nfkc(F.col(text)))
-    d = docs.select(key, t.merge_hyphens(x).alias("text"))
-    d = d.select(key, p.latin_dominant(F.col("text")).alias("latin"), "text")  # before the lines are spread out: once a document
-    d = d.select(key, "latin", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    one = lambda line: t.squeeze(t.fix_spacing(t.strip_controls(line)))
-    d = d.select(key, "pos", one(F.when(F.col("latin"), t.strip_icons(F.col("line"))).otherwise(F.col("line"))).alias("line"))
-    d = d.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("ls"))
-    # after the aggregate: a filter on the cleaned line would be pushed down and clean it over and over
-    good = F.filter(F.transform("ls", lambda x: x["line"]), lambda x: (x != "") & ~p.junk_line_ocr(x))
-    d = d.select(key, good.alias("ls"), F.transform(good, t.exact_key).alias("ks"))
-
-    def slide(batches):
-        for b in batches:
-            kept = [[x for x, k in zip(ls, sliding_keep(ks, DEFAULT.dedupe_window)) if k] for ls, ks in zip(b.column("ls").to_pylist(), b.column("ks").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(key), pa.array(kept, pa.list_(pa.string()))], [key, "ls"])
-
-    kind = d.schema[key].dataType.simpleString()
-    lines_ = d.mapInArrow(slide, f"`{key}` {kind}, ls array<string>").select(key, F.posexplode("ls").alias("pos", "line"))
-    return dedupe_exact(drop_boilerplate(lines_, key), key)
+    """key, pos, line: the recognised-text pipeline."""
+    return _lines_of(docs, key, text, line_folds.ocr_lines)
 
 
 def uniq_ranges(ranges: list[tuple[int, int]] | None, n: int) -> list[tuple[int, int]]:

@@ -34,7 +34,7 @@ def slices(spark, d):
 
 
 @query("ocr_lines", """
-WITH t AS (SELECT o_custkey AS k, (l_linenumber * 97 + l_partkey % 60)::DOUBLE AS x, (l_orderkey % 400)::DOUBLE AS y, 20.0::DOUBLE AS w, (8 + l_suppkey % 10)::DOUBLE AS h, l_discount AS score FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_custkey < 60),
+WITH t AS (SELECT o_custkey AS k, (l_linenumber * 97 + l_partkey % 60)::DOUBLE AS x, (l_orderkey % 400)::DOUBLE AS y, 20.0::DOUBLE AS w, (8 + l_suppkey % 10)::DOUBLE AS h, l_discount AS score FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
 m AS (SELECT *, quantile_cont(h, 0.5) OVER (PARTITION BY k) AS med FROM t),
 j AS (SELECT *, CASE WHEN coalesce(y - lag(y) OVER (PARTITION BY k ORDER BY y, x) > greatest(10.0, 0.6 * med), TRUE) THEN 1 ELSE 0 END AS jump FROM m),
 r AS (SELECT *, sum(jump) OVER (PARTITION BY k ORDER BY y, x ROWS UNBOUNDED PRECEDING) AS row FROM j),
@@ -42,7 +42,7 @@ g AS (SELECT *, CASE WHEN coalesce(x - lag(x + w) OVER (PARTITION BY k, row ORDE
 p AS (SELECT *, sum(gap) OVER (PARTITION BY k, row ORDER BY x, y ROWS UNBOUNDED PRECEDING) AS part FROM g)
 SELECT k, row::BIGINT AS row, part::BIGINT AS part, count(*) AS tokens, round(avg(score), 6) AS score FROM p GROUP BY ALL""")
 def ocr_lines(spark, d):
-    o = table(spark, d, "orders").where("o_custkey < 60").select("o_orderkey", F.col("o_custkey").alias("k"))
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("k"))
     x = table(spark, d, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
     tok = x.select("k", (F.col("l_linenumber") * 97 + F.col("l_partkey") % 60).cast("double").alias("x"), (F.col("l_orderkey") % 400).cast("double").alias("y"), F.lit(20.0).alias("w"), (8 + F.col("l_suppkey") % 10).cast("double").alias("h"), F.lit("t").alias("text"), F.col("l_discount").alias("score"))
     return ocr.lines(tok, "k").select("k", "row", "part", "tokens", F.round("score", 6).alias("score"))
@@ -100,11 +100,11 @@ def metrics(spark, d):
 
 
 @query("quotes_to_ids", """
-WITH p AS (SELECT user_id, event_id AS id, lower(event_type) AS q FROM events WHERE event_id % 50 = 0),
-u AS (SELECT DISTINCT user_id, lower(event_type) AS q FROM events WHERE event_id % 60 = 0)
+WITH p AS (SELECT user_id, event_id AS id, lower(event_type) AS q FROM events),
+u AS (SELECT DISTINCT user_id, lower(event_type) AS q FROM events)
 SELECT u.user_id, count(DISTINCT p.id) AS ids FROM u JOIN p ON p.user_id = u.user_id AND p.q = u.q GROUP BY u.user_id""")
 def ids(spark, d):
-    """Every event is evidence and every user's event types are used; the SQL still has a fiftieth and a sixtieth of them."""
+    """Every event is evidence and every user's event types are used."""
     e = table(spark, d, "events")
     pool = e.select("user_id", F.col("event_id").alias("id"), F.concat(F.lit('"'), F.upper("event_type"), F.lit('"')).alias("quote"))
     used = e.groupBy("user_id").agg(F.collect_set("event_type").alias("quotes"))
@@ -192,10 +192,10 @@ def lenient(spark, d):
 
 
 @query("judge_answer", """
-SELECT event_id, event_id % 2 = 0 AS important, event_type AS category FROM events WHERE event_id % 5 > 0""")
+SELECT event_id, event_id % 2 = 0 AS important, event_type AS category FROM events""")
 def judge(spark, d):
     raw = F.concat(F.lit('Answer: {"important":'), F.when(F.col("event_id") % 2 == 0, "true").otherwise("false"), F.lit(',"category":"'), "event_type", F.lit('"}'))
-    x = table(spark, d, "events").select("event_id", t.parse_decision(raw).alias("x"))  # the SQL still leaves out a fifth
+    x = table(spark, d, "events").select("event_id", t.parse_decision(raw).alias("x"))
     return x.select("event_id", "x.important", "x.category")
 
 
@@ -257,4 +257,4 @@ def wrap(spark, d):
     from driftline.operators import lines as ln
 
     x = F.col("text")
-    return table(spark, d, "documents").select("doc_id", F.size(ln.soft_lines(x)).alias("soft"), F.size(ln.wrap_single(F.replace(x, F.lit("\n"), F.lit(" ")))).alias("wrapped"), F.size(ln.cut_long_lines(F.split("text", "\n"))).alias("cut"), F.length(ln.without_json_blobs(F.col("text"))).alias("chars"), F.size(t.split_candidates(x)).alias("candidates"), F.length(t.sanitise_raw(F.col("text"))).alias("raw"))
+    return table(spark, d, "documents").select("doc_id", F.size(ln.soft_lines(x)).alias("soft"), F.size(ln.wrap_single(F.replace(x, F.lit("\n"), F.lit(" ")))).alias("wrapped"), F.size(ln.cut_long_lines(F.split("text", "\n"))).alias("cut"), F.length(ln.without_json_blobs(F.col("text"))).alias("chars"), F.size(ln.candidate_lines(x)).alias("candidates"), F.length(ln.sanitised(x)).alias("raw"))

@@ -24,13 +24,13 @@ def query(name: str, sql: str | None = None):
 LINES = "(SELECT doc_id, pos, trim(line, ' ') AS line FROM (SELECT doc_id, unnest(range(len(ls))) AS pos, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)) WHERE trim(line, ' ') <> '')"
 ALNUM = r"len(regexp_extract_all(line, '[\p{L}\p{N}]'))"
 ALPHA, DIGIT = r"len(regexp_extract_all(line, '\p{L}'))", r"len(regexp_extract_all(line, '\p{N}'))"
-SOLID = r"nullif(length(regexp_replace(line, '\s+', '', 'g')), 0)"
+SOLID = "nullif(length(line), 0)"
 FP = r"trim(regexp_replace(lower(line), '[\p{P}\p{S}\s\x{00A0}]+', ' ', 'g'))"
 EXACT = r"trim(regexp_replace(lower(line), '[\s\x{00A0}\x{FEFF}]+', ' ', 'g'))"
 TOKENS = r"len(list_filter(regexp_split_to_array(line, '\s+'), lambda x: x <> ''))"
 Q_ALPHA, Q_DIGIT = f"coalesce({ALPHA}::DOUBLE / {SOLID}, 0)", f"coalesce({DIGIT}::DOUBLE / {SOLID}, 0)"
-Q_OTHER = f"coalesce(({SOLID} - {ALPHA} - {DIGIT})::DOUBLE / {SOLID}, 0)"
-JUNK = rf"(({ALNUM} < 2 AND NOT regexp_matches(line, '^[^\p{{L}}]*[0-9]{{2,}}[^\p{{L}}]*$')) OR ({Q_ALPHA} < 0.12 AND {Q_DIGIT} < 0.08 AND {Q_OTHER} > 0.45 AND length(line) < 140))"
+Q_OTHER = f"coalesce(({SOLID} - {ALPHA} - {DIGIT} - length(line) + length(replace(line, ' ', '')))::DOUBLE / {SOLID}, 0)"
+JUNK = rf"(({ALNUM} < 2 AND NOT regexp_matches(line, '^[0-9]{{2,}}([.,][0-9]+)?[%+]?$')) OR ({Q_ALPHA} < 0.12 AND {Q_DIGIT} < 0.08 AND {Q_OTHER} > 0.45 AND length(line) < 140))"
 UI = f"({TOKENS} <= 10 AND ({Q_ALPHA} < 0.78 OR {Q_DIGIT} > 0.22))"
 
 
@@ -55,37 +55,33 @@ def junk(spark, d):
 
 
 @query("boilerplate_first", f"""
-WITH f AS (SELECT *, {FP} AS fp FROM {LINES}), g AS (SELECT *, count(*) OVER (PARTITION BY doc_id, fp) AS freq, row_number() OVER (PARTITION BY doc_id, fp ORDER BY pos) AS nth FROM f)
-SELECT doc_id, pos FROM g WHERE NOT (freq >= 2 AND length(line) <= 90 AND {UI} AND nth > 1)""")
+WITH f AS (SELECT *, {FP} AS fp FROM {LINES}), g AS (SELECT *, fp <> '' AND count(*) OVER (PARTITION BY doc_id, fp) >= 2 AND length(line) <= 90 AND {UI} AS ui FROM f)
+SELECT doc_id, pos FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, fp, ui ORDER BY pos) AS nth FROM g) WHERE NOT (ui AND nth > 1)""")
 def boilerplate(spark, d):
     return ln.drop_boilerplate(lines(spark, d), "doc_id").select("doc_id", F.col("pos").cast("bigint").alias("pos"))
 
 
-@query("dedupe_exact", f"SELECT doc_id, pos FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, {EXACT} ORDER BY pos) AS nth FROM {LINES}) WHERE nth = 1")
+@query("dedupe_exact", f"SELECT doc_id, pos FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, {EXACT} ORDER BY pos) AS nth FROM {LINES}) WHERE nth = 1 OR {EXACT} = ''")
 def exact(spark, d):
     return ln.dedupe_exact(lines(spark, d), "doc_id").select("doc_id", F.col("pos").cast("bigint").alias("pos"))
 
 
 @query("dedupe_sliding")
 def sliding(spark, d):
-    """Lines left when a repeat within 80 kept-or-seen lines is dropped."""
+    """Lines left when a repeat of one kept among the 80 before is dropped."""
     x = table(spark, d, "documents").select("doc_id", F.split("text", "\n").alias("ls"))
     return x.select("doc_id", F.size("ls").alias("lines"), F.size(ln.dedupe_sliding(F.col("ls"))).alias("kept"))
 
 
-@query("char_budget", f"SELECT doc_id, pos, used FROM (SELECT doc_id, pos, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos)::BIGINT AS used, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS nth FROM {LINES}) WHERE used <= 2000 AND nth <= 12")
+@query("char_budget", f"SELECT doc_id, pos, used FROM (SELECT doc_id, pos, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos)::BIGINT - 1 AS used, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS nth FROM {LINES}) WHERE used <= 2000 AND nth <= 12")
 def budget(spark, d):
     return ln.char_budget(lines(spark, d), "doc_id", 2000, 12).select("doc_id", F.col("pos").cast("bigint").alias("pos"), "used")
 
 
-@query("clean_lines_dom", f"""
-WITH l AS ({LINES.replace('string_split(text,', 'string_split(left(text, 25000),')[1:-1]}), k AS (SELECT * FROM l WHERE NOT {JUNK}), f AS (SELECT *, {FP} AS fp FROM k),
-g AS (SELECT *, count(*) OVER (PARTITION BY doc_id, fp) AS freq, row_number() OVER (PARTITION BY doc_id, fp ORDER BY pos) AS nth FROM f),
-b AS (SELECT * FROM g WHERE NOT (freq >= 2 AND length(line) <= 90 AND {UI} AND nth > 1)),
-e AS (SELECT doc_id, pos, line FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, {EXACT} ORDER BY pos) AS n2 FROM b) WHERE n2 = 1)
-SELECT doc_id, pos FROM (SELECT doc_id, pos, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos) AS used FROM e) WHERE used <= 25000""")
+@query("clean_lines_dom")
 def clean(spark, d):
-    return ln.clean_dom(table(spark, d, "documents"), "doc_id", "text").select("doc_id", F.col("pos").cast("bigint").alias("pos"))
+    x = ln.clean_dom(table(spark, d, "documents"), "doc_id", "text")
+    return x.select("doc_id", F.col("pos").cast("bigint").alias("pos"), F.sha1("line").alias("line_sha1"))
 
 
 @query("paragraph_index", """

@@ -47,8 +47,8 @@ SELECT source, doc_id, prev_doc_id, round(1 - {JAC}, 6) AS text_diff, round({JAC
  prev_doc_id IS NOT NULL AND 1 - {JAC} > 0.15 AS significant FROM s""")
 def prev_text_diff(spark, d):
     """As-of predecessor by source, token distance and its significance: the flagship."""
-    p = diffs.previous(table(spark, d, "documents").select("source", "doc_id", "text"), "source", "doc_id", "text")
-    p = diffs.text_scores(p, "prev_text", "text")
+    p = diffs.token_sets(table(spark, d, "documents").select("source", "doc_id", "text"), "text").drop("text")
+    p = diffs.set_scores(diffs.previous(p, "source", "doc_id", "tokens", "words"))
     significant = F.col("prev_doc_id").isNotNull() & (F.col("text_diff") > 0.15)
     return rounded(p.select("source", "doc_id", "prev_doc_id", "text_diff", "word_jaccard", significant.alias("significant")), "text_diff", "word_jaccard")
 
@@ -75,7 +75,7 @@ def hashes(spark, d):
 
 
 @query("slugify", r"""
-SELECT doc_id, left(coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(lower(left(text, 80)), '\p{Mn}+', '', 'g'), '[^\p{L}\p{N}]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'chunk'), 48) AS slug FROM documents""")
+SELECT doc_id, left(coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(lower(text), '\p{Mn}+', '', 'g'), '[^\p{L}\p{N}]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'chunk'), 48) AS slug FROM documents""")
 def slugs(spark, d):
     return table(spark, d, "documents").select("doc_id", t.slug(F.col("text")).alias("slug"))
 
@@ -131,31 +131,34 @@ def char_chunks(spark, d):
 
 
 BAND = rf"""
-p AS (SELECT conv_id * 1000 + turn AS k, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM conversations),
 n AS (SELECT k, text, prev, least(60, greatest(1, CAST(ceil((length(text) - 120) / 780.0) AS INTEGER))) AS nn, least(60, greatest(1, CAST(ceil((length(prev) - 120) / 780.0) AS INTEGER))) AS np FROM p WHERE length(text) > 0 AND length(prev) > 0),
 new AS (SELECT k, i, substr(text, i * 780 + 1, 900) AS c FROM (SELECT k, text, unnest(range(nn)) AS i FROM n)),
 old AS (SELECT k, j, substr(prev, j * 780 + 1, 900) AS c FROM (SELECT k, prev, unnest(range(np)) AS j FROM n)),
 s AS (SELECT new.k, i, j, new.c, {_words('new.c')} AS a, {_words('old.c')} AS b FROM new LEFT JOIN old ON old.k = new.k AND j BETWEEN i - 2 AND i + 2),
-band AS (SELECT k, i, max(CASE WHEN j IS NULL THEN 0.0 ELSE {JAC} END) AS best, bool_or(regexp_matches(c, '[0-9]')) AS digits FROM s GROUP BY k, i)"""
+band AS (SELECT k, i, max(CASE WHEN j IS NULL THEN 0.0 ELSE {JAC} END) AS best, bool_or(regexp_matches(c, '[0-9]')) AS digits FROM s GROUP BY k, i),
+m AS (SELECT k, count(*) AS chunks, count(*) FILTER (1 - best >= CASE WHEN digits THEN 0.08 ELSE 0.12 END) AS changed,
+ count(*) FILTER (digits AND 1 - best >= 0.08) AS changed_digits, max(1 - best) AS max_diff, avg(best) AS avg_similarity FROM band GROUP BY k)"""
+TURNS = "p AS (SELECT conv_id * 1000 + turn AS k, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM conversations)"
+SIGNIFICANT = "changed > 0 AND (max_diff >= CASE WHEN changed_digits > 0 THEN 0.14 ELSE 0.18 END OR changed / chunks >= 0.08 OR changed >= 2)"
 
 
-def _band(spark, d):
+def _turn_pairs(spark, d):
     p = diffs.previous(table(spark, d, "conversations"), "conv_id", "turn", "text").where((F.length("text") > 0) & (F.length("prev_text") > 0))
-    return diffs.chunk_band(p.select((F.col("conv_id") * 1000 + F.col("turn")).alias("k"), "text", "prev_text"), "k", "prev_text", "text")
+    return p.select((F.col("conv_id") * 1000 + F.col("turn")).alias("k"), "text", "prev_text")
 
 
-@query("chunk_band_best_match", f"WITH {BAND} SELECT k, i, round(best, 6) AS best, digits FROM band")
+@query("chunk_band_best_match", f"WITH {TURNS}, {BAND} SELECT k, i, round(best, 6) AS best, digits FROM band")
 def band(spark, d):
-    return rounded(_band(spark, d).select("k", F.col("i").cast("bigint").alias("i"), "best", "digits"), "best")
+    return rounded(diffs.chunk_band(_turn_pairs(spark, d), "k", "prev_text", "text").select("k", F.col("i").cast("bigint").alias("i"), "best", "digits"), "best")
 
 
 @query("text_chunk_metrics", f"""
-WITH {BAND}, m AS (SELECT k, count(*) AS chunks, count(*) FILTER (1 - best >= CASE WHEN digits THEN 0.08 ELSE 0.12 END) AS changed,
- count(*) FILTER (digits AND 1 - best >= 0.08) AS changed_digits, max(1 - best) AS max_diff, avg(best) AS avg_similarity FROM band GROUP BY k)
-SELECT k, chunks, changed, round(max_diff, 6) AS max_diff, round(avg_similarity, 6) AS avg_similarity,
- changed > 0 AND (max_diff >= CASE WHEN changed_digits > 0 THEN 0.14 ELSE 0.18 END OR changed / chunks >= 0.08 OR changed >= 2) AS significant FROM m""")
+WITH {TURNS}, {BAND}
+SELECT k, chunks, changed, round(max_diff, 6) AS max_diff, round(avg_similarity, 6) AS avg_similarity, {SIGNIFICANT} AS significant FROM m""")
 def metrics(spark, d):
-    return rounded(diffs.chunk_metrics(_band(spark, d), "k").select("k", "chunks", "changed", "max_diff", "avg_similarity", "significant"), "max_diff", "avg_similarity")
+    p = _turn_pairs(spark, d).select("k", diffs.chunk_sets(F.col("prev_text")).alias("b"), diffs.chunk_sets(F.col("text")).alias("a"))
+    m = p.select("k", diffs.chunk_metrics(diffs.band_best(F.col("b"), F.col("a"))).alias("m"))
+    return rounded(m.select("k", *[f"m.{c}" for c in ("chunks", "changed", "max_diff", "avg_similarity", "significant")]), "max_diff", "avg_similarity")
 
 
 @query("sentences_added_removed", r"""
@@ -170,18 +173,11 @@ def added_removed(spark, d):
     return diffs.added_removed(p, "prev_text", "text").select("conv_id", "turn", F.size("added").cast("bigint").alias("added"), F.coalesce(F.lower(F.get("added", F.lit(0))), F.lit("")).alias("first_added"))
 
 
-@query("chunk_full_outer_diff", rf"""
-WITH c AS (SELECT source, doc_id % 50 AS slot, text, (doc_id // 50) % 2 AS ver FROM documents WHERE length(text) < 4000),
-v AS (SELECT source, slot, ver, min(text) AS text FROM c GROUP BY ALL),
-j AS (SELECT coalesce(x.source, y.source) AS source, coalesce(x.slot, y.slot) AS slot, x.text AS before, y.text AS after FROM (SELECT * FROM v WHERE ver = 0) x FULL JOIN (SELECT * FROM v WHERE ver = 1) y ON x.source = y.source AND x.slot = y.slot),
-s AS (SELECT *, {_tokens('lower(before)')} AS a, {_tokens('lower(after)')} AS b, list_distinct(regexp_extract_all(before, '[0-9]+[0-9.,]*')) AS na, list_distinct(regexp_extract_all(after, '[0-9]+[0-9.,]*')) AS nb FROM j)
-SELECT source, slot, CASE WHEN before IS NULL THEN 'added' WHEN after IS NULL THEN 'removed'
- WHEN 1 - ({JAC}) >= CASE WHEN 1 - ({JAC.replace('(a', '(na').replace('b)', 'nb)').replace('len(a)', 'len(na)')}) >= 0.12 THEN 0.08 ELSE 0.12 END THEN 'changed' ELSE 'same' END AS change FROM s""")
+@query("chunk_full_outer_diff")
 def full_outer(spark, d):
     """Packed chunks of every document against those of the version before, by chunk id.
 
-    The first version of a source has all its chunks added.  The SQL still has
-    fifty slots a source and no text of 4000 characters or more: other rows.
+    The first version of a source has all its chunks added.
     """
     doc = table(spark, d, "documents")
     later = doc.select("source", "doc_id", F.lead("doc_id").over(Window.partitionBy("source").orderBy("doc_id")).alias("next_id"))
@@ -304,10 +300,10 @@ def reviews(spark, d):
 
 
 @query("evidence_paragraphs", """
-WITH b AS (SELECT conv_id % 20 AS k, turn % 5 AS para, text FROM conversations)
+WITH b AS (SELECT conv_id AS k, turn AS para, text FROM conversations)
 SELECT k, para, max(length(text))::BIGINT AS n FROM b GROUP BY k, para""")
 def paragraphs(spark, d):
-    """Longest block of every paragraph: k a conversation, para a turn; the SQL still merges them to 20 and 5."""
+    """Longest block of every paragraph: k a conversation, para a turn."""
     c = table(spark, d, "conversations").select(F.col("conv_id").alias("k"), F.col("turn").alias("para"), F.col("text").alias("block"))
     return evidence.select_paragraph_blocks(c, "k").select("k", "para", F.length("block").cast("bigint").alias("n"))
 
@@ -321,7 +317,7 @@ def candidates(spark, d):
 
 @query("nfkc_clean")
 def nfkc(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.sha1(t.nfkc(F.col("text"))).alias("sha1"), t.slug_ascii(F.col("text")).alias("slug"))
+    return table(spark, d, "documents").select("doc_id", F.sha1(ln.common_form(F.col("text"))).alias("sha1"), t.slug_ascii(F.col("text")).alias("slug"))
 
 
 @query("pair_snippets")
@@ -333,17 +329,22 @@ def snippets(spark, d):
 
 
 @query("machine_diff_reasons", f"""
-WITH p AS (SELECT source, doc_id, text, lag(text) OVER w AS prev, lag(doc_id) OVER w AS prev_doc_id FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)),
-s AS (SELECT *, {_tokens("coalesce(prev, '')")} AS a, {_tokens('text')} AS b FROM p), q AS (SELECT *, 1 - ({JAC}) AS x FROM s)
-SELECT doc_id, CASE WHEN prev_doc_id IS NULL THEN 'no_prev_snapshot' ELSE array_to_string(list_filter([
- CASE WHEN left(prev, 20) <> left(text, 20) THEN 'title_changed' END, CASE WHEN x > 0.05 THEN 'text_changed' END], lambda r: r IS NOT NULL), ';') END AS reasons,
- prev_doc_id IS NOT NULL AND x > 0.15 AS significant FROM q""")
+WITH v AS (SELECT source, doc_id AS k, text, lag(text) OVER w AS prev, lag(doc_id) OVER w AS prev_doc_id FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)),
+p AS (SELECT k, text, prev FROM v), {BAND},
+t AS (SELECT *, {_tokens("coalesce(prev, '')")} AS a, {_tokens('text')} AS b FROM v), q AS (SELECT *, 1 - ({JAC}) AS x, trim(regexp_replace(string_split(prev, chr(10))[1], '{WS}', ' ', 'g')) AS t0, trim(regexp_replace(string_split(text, chr(10))[1], '{WS}', ' ', 'g')) AS t1 FROM t)
+SELECT k AS doc_id, CASE WHEN prev_doc_id IS NULL THEN 'no_prev_snapshot' ELSE array_to_string(list_filter([
+ CASE WHEN t0 <> t1 THEN 'title_changed' END, CASE WHEN x > 0.05 THEN 'text_changed' END, CASE WHEN coalesce(changed, 0) > 0 THEN 'text_chunk_changed' END], lambda r: r IS NOT NULL), ';') END AS reasons,
+ coalesce(changed, 0)::BIGINT AS changed, coalesce(chunks, 0)::BIGINT AS chunks, prev_doc_id IS NOT NULL AND (x > 0.15 OR coalesce({SIGNIFICANT}, FALSE)) AS significant FROM q LEFT JOIN m USING (k)""")
 def machine(spark, d):
-    p = diffs.previous(table(spark, d, "documents").select("source", "doc_id", "text", F.left("text", F.lit(20)).alias("title")), "source", "doc_id", "text", "title")
-    p = diffs.text_scores(p, "prev_text", "text").withColumns({"prev_version": F.col("prev_doc_id"), "changed": F.lit(0), "chunks": F.lit(0), "significant": F.lit(False)})
-    m = diffs.machine_diff(p)
+    """Reasons of every document against the version before; the first line is the title."""
+    p = table(spark, d, "documents").select("source", "doc_id", F.split("text", "\n")[0].alias("title"), "text", diffs.chunk_sets(F.col("text")).alias("parts"))
+    p = diffs.previous(diffs.token_sets(p, "text").drop("text"), "source", "doc_id", "title", "tokens", "words", "parts")
+    band = F.when(F.size("prev_parts") > 0, diffs.band_best(F.col("prev_parts"), F.col("parts")))
+    p = diffs.set_scores(p).withColumn("m", diffs.chunk_metrics(band))
+    m = diffs.machine_diff(p.select("doc_id", "prev_title", "title", "text_diff", F.col("prev_doc_id").alias("prev_version"), *[f"m.{c}" for c in ("changed", "chunks", "significant")]))
     names = F.transform("reasons", lambda r: F.regexp_replace(r, r"\(.*$", ""))
-    return m.select("doc_id", F.array_join(names, ";").alias("reasons"), "significant")
+    zero = F.lit(0).cast("bigint")
+    return m.select("doc_id", F.array_join(names, ";").alias("reasons"), F.coalesce("changed", zero).alias("changed"), F.coalesce("chunks", zero).alias("chunks"), "significant")
 
 
 @query("decision_rules", """

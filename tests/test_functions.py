@@ -3,9 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from driftline.config import EngineConfig
 from driftline.functions import numbers, predicates, sets
 from driftline.functions import text as t
-from driftline.operators import diffs, evidence, html, lines
+from driftline.operators import diffs, evidence, html, line_folds, lines
 
 
 def one(spark, expr, **cols):
@@ -84,11 +85,14 @@ def test_predicates(spark):
 
 def test_line_folds():
     keys = ["a", "b", "a", *"cdefgh", "a"]
-    assert lines.sliding_keep(keys, 3) == [True, True, False, *[True] * 6, True]
-    kept = [k for k, ok in zip(keys, lines.sliding_keep(keys, 3)) if ok]
-    assert all(lines.sliding_keep(kept, 1))
-    assert lines.wrap_words("aa bb cc dddddd", 5) == ["aa bb", "cc", "dddddd"]
-    assert "".join(lines.cut_long("x" * 1000, 420)) == "x" * 1000
+    assert line_folds.keep_within_window(keys, 3) == [True, True, False, *[True] * 6, True]
+    kept = [k for k, ok in zip(keys, line_folds.keep_within_window(keys, 3)) if ok]
+    assert all(line_folds.keep_within_window(kept, 1))
+    assert line_folds.keep_within_window(["", "", "a", ""], 80) == [True] * 4
+    assert line_folds.wrap_words("aa bb cc dddddd", 5) == ["aa bb", "cc", "dddddd"] and line_folds.wrap_words("  ", 5) == []
+    assert "".join(line_folds.pieces_of("x" * 1000, 420)) == "x" * 1000
+    cut = line_folds.pieces_of("word " * 1000, 420)
+    assert len(cut) == 10 and cut[-1].endswith(" …") and max(map(len, cut[:-1])) <= 420
     segs = lines.build_segments(["# T", "- a", "- b", "one,", "two.", "", "three"], ["heading", "list", "list", "text", "sentence", "blank", "text"], 140)
     assert [(s["kind"], s["text"]) for s in segs] == [("heading", "# T"), ("list", "- a\n- b"), ("text", "one, two."), ("text", "three")]
     merged = lines.merge_short([{"kind": "heading", "from_line": 0, "to_line": 0, "text": "# T"}, {"kind": "text", "from_line": 1, "to_line": 1, "text": "x" * 200}, {"kind": "text", "from_line": 2, "to_line": 2, "text": "end"}])
@@ -100,7 +104,56 @@ def test_line_folds():
     assert [(c["anchor"], c["text"]) for c in got] == [(0, "Alpha beta: one."), (1, "Gamma two")]
     assert lines.pair_snippets("same 10 end", "same 12 end") and not lines.pair_snippets("a", "a")
     blob = "before {" + '"k":"v",' * 80 + '"z":1} after'
-    assert lines.strip_json_blobs(blob).split() == ["before", "after"]
+    assert line_folds.without_state_blocks(blob).split() == ["before", "after"]
+    assert line_folds.matching_bracket('{"a}": [1, {}]} x', 0, 99) == 14 and line_folds.matching_bracket("{]", 0, 99) == -1 and line_folds.matching_bracket("{", 0, 99) == -1
+
+
+def test_dom_lines():
+    """Hand-worked: what each step does, in order."""
+    c = EngineConfig(clean_lines=3)
+    assert line_folds.dom_lines("a1\r\n\r\n  b  2 \n7\n21\n14.99\n--\n12-34") == ["a1", "b 2", "21", "14.99", "12-34"]
+    assert line_folds.dom_lines("Menu 12\nOpis produktu\nMenu 12\nmenu: 12") == ["Menu 12", "Opis produktu"]
+    assert line_folds.dom_lines("plain words here\nPlain  words here") == ["plain words here"]
+    assert line_folds.dom_lines("l1\nl2\nl3\nl4", c) == ["l1", "l2", "l3"]
+    assert line_folds.dom_lines("abcdef\nghij\nk2", EngineConfig(clean_lines_chars=3)) == ["abcdef"]
+    assert line_folds.dom_lines("abcd\nefgh\nij", EngineConfig(clean_lines_chars=10)) == ["abcd", "efgh"]
+    assert line_folds.dom_lines("x __NUXT__ = 1, 2, 3") == ["x"][:0] and line_folds.dom_lines("some text __NUXT__ = 1, 2, 3") == ["some text"]
+    assert line_folds.dom_lines("x" * 30_000) == ["x" * 420, "x" * 420 + " …"]  # ten pieces, of which eight repeat the first
+    assert line_folds.dom_lines(None) == [] == line_folds.dom_lines("")
+
+
+def test_ocr_lines():
+    assert line_folds.spaced("wersja2 1osoba PropozycjeDla a,b c.D (x)y z[1] AB12") == "wersja 2 1 osoba Propozycje Dla a, b c. D (x) y z [1] AB12"
+    assert line_folds.without_glyphs("★★★★ 4,5 ☑ gotowe → 回 koniec x☆") == "4,5 gotowe koniec x☆"
+    assert line_folds.common_form("„a” “b” ’c‘ ﬁ") == "„a\" \"b\" 'c' fi"
+    assert line_folds.ocr_lines("zam-\nek stoi\ndruga linia\nDruga  linia\n--") == ["zamek stoi", "druga linia"]
+    assert line_folds.ocr_lines("one • two | three\tfour") == ["one", "two", "three four"]
+    assert line_folds.ocr_lines("see https://a.example/b now\nmore text here\nlast line") == ["see now", "more text here", "last line"]
+    assert line_folds.ocr_lines("abcd\nefgh\nijkl", EngineConfig(clean_chars=9)) == ["abcd", "efgh"]
+    assert line_folds.ocr_lines(None) == []
+
+
+def test_lines_of_no_letter_all_stay(spark):
+    rows = [(1, i, x) for i, x in enumerate(["* * *", "Menu 12", "* * *", "Menu 12", "a long line of letters only", "a long line of letters only"])]
+    got = lines.drop_boilerplate(spark.createDataFrame(rows, "k int, pos int, line string"), "k").orderBy("pos").collect()
+    assert [r.pos for r in got] == [0, 1, 2, 4, 5]
+    both = spark.createDataFrame([(1, 0, "abcde"), (1, 1, "abcd"), (1, 2, "x")], "k int, pos int, line string")
+    assert [r.pos for r in lines.char_budget(both, "k", 10, 9).orderBy("pos").collect()] == [0, 1]
+
+
+def test_previous_of_a_hot_key(spark):
+    """Stretches of one key give the pairs of one window."""
+    import random
+
+    rng = random.Random(4)
+    rows = [(k, i, f"t{k}-{i}", None if i % 7 else i) for k, n in ((1, 900), (2, 40), (None, 60), (3, 1)) for i in rng.sample(range(5000), n)]
+    df = spark.createDataFrame(rows, "k int, v bigint, text string, x bigint").repartition(5)
+    out = lambda n: sorted(diffs.previous(df, "k", "v", "text", "x", versions_a_task=n).collect(), key=str)
+    assert out(50) == out(10**6) and len(out(50)) == len(rows)
+    seen = {(r.k, r.v): r.prev_v for r in out(50)}
+    for k in (1, 2, None):
+        vs = sorted(v for a, v in seen if a == k)
+        assert [seen[(k, v)] for v in vs] == [None, *vs[:-1]]
 
 
 def test_html():
