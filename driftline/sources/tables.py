@@ -6,8 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Tables with much work in each row, and the column by which their rows are spread.
+SPREAD_BY = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df``, a scan, over all cores where its files give fewer splits than there are.
+
+    One row group is one task, however many cores wait.  A table of many files
+    is left as it is, so nothing moves at size.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df, SPREAD_BY[name]) if name in SPREAD_BY else df
 
 
 def monitors(spark: SparkSession, sf_dir: str) -> DataFrame:
