@@ -6,6 +6,7 @@ table like any other.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,8 +18,11 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below the one that the cluster names; a temporary one where it names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """A new folder below the one that the cluster names; a temporary one where it names none and all runs in this process."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not named and re.fullmatch(r"local(\[[^]]*\])?", sc.master) is None:
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     return f"{named or tempfile.mkdtemp(prefix='driftline-stream-')}/stream-{uuid.uuid4().hex}"
 
 
