@@ -85,7 +85,7 @@ def change_pipeline(snapshots: DataFrame, prompt: Column | None = None, judge: P
     ask = F.lit(None).cast("string") if prompt is None else prompt
     d = d.where(~predicates.early_exit(F.col("any_change"), F.col("significant"), F.lit(False), F.lit(False), ask))
     kws = F.coalesce(evidence.keywords(ask), F.array().cast("array<string>"))
-    found = lambda c: F.transform(F.slice(evidence.candidates(F.col(c), kws), 1, DEFAULT.evidence_total), lambda x: x["quote"])
+    found = lambda c: F.transform(F.slice(evidence.candidates(F.col(c), evidence.wants_of(ask), kws), 1, DEFAULT.evidence_total), lambda x: x["quote"])
     d = d.withColumns({"before": found("prev_text"), "after": found("text")})
     d = judge(d) if judge else d
     x = diffs.decision(F.col("any_change"), F.col("significant"), F.when(F.size("before") > 0, F.col("before")).otherwise(F.array("prev_text")), F.when(F.size("after") > 0, F.col("after")).otherwise(F.array("text")))

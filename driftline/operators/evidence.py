@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from driftline.config import DEFAULT
 from driftline.functions import numbers, sets
 from driftline.functions import text as t
-from driftline.functions.predicates import like
+from driftline.functions.predicates import like, ocr_garbage, seller_review, wants_seller
+from driftline.operators import candidates as found
 from driftline.operators.lines import _udf
 
 #: Boundaries by any letter or digit, not only ASCII ones.
@@ -27,6 +28,8 @@ INTENTS = {
     "news_list": L + r"(?:artyku[łl]y?|wiadomo[śs]\p{L}+|news|wpisy?|entry|entries|og[łl]oszeni[ae])" + R,
     "availability": r"dost[ęe]pn|stock|availab",
     "delivery": r"dostaw|wysy[łl]|deliver|shipping",
+    "count": L + r"(?:how many|ile|liczb[aęy]|number of)" + R,
+    "filters": L + r"(?:filtr\p{L}*|filters?)" + R,
 }
 STOPWORDS = sorted(
     set(
@@ -52,6 +55,8 @@ def intents(prompt: Column) -> dict[str, Column]:
     out = {k: like(low, p) for k, p in INTENTS.items()}
     out["new_item"] = out["new_item"] & ~out["reviews"]
     out["exclude_price"] = like(low, r"(?:ignoruj|ignore).{0,20}(?:cen|price)|bez\s+ceny")
+    out["exclude_delivery"] = like(low, r"(?:ignore|ignoruj).{0,30}(?:deliver|dostaw|wysy[łl])")
+    out["seller"] = wants_seller(low)
     return out
 
 
@@ -107,80 +112,75 @@ def chunk_score(text: Column, kws: Column, wants: dict[str, Column]) -> Column:
     ).cast("bigint")
 
 
-def top_chunks(chunks: DataFrame, key: str, score: str, order: str, most: int = DEFAULT.evidence_chunks) -> DataFrame:
-    """The best-scored chunks; of equal scores the earlier."""
-    w = Window.partitionBy(key).orderBy(F.col(score).desc(), order)
-    return chunks.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= most).drop("__n")
+#: What a prompt may ask of candidates, as a struct: ``wants_of``.
+ASKED = (*INTENTS, "exclude_price", "exclude_delivery", "seller")
 
 
-PRIORITY = ("rank_item", "product_line", "price", "rating", "count", "list_item", "percent", "date", "headline", "keyword")
-KIND = {
-    "rank_item": r"^\s*-?\s*#\s*[0-9]{1,3}\b.*",
-    "price": r"[0-9](?:[0-9 .,]*[0-9])?\s*(?:zł|zl|pln|eur|usd|€|\$|£)",
-    "rating": r"[0-9]{1,2}(?:[.,][0-9]{1,2})?\s*/\s*(?:5|10)\b",
-    "count": rf"[0-9]+\s*{numbers.REVIEW}",
-    "percent": r"[0-9]{1,3}(?:[.,][0-9]{1,2})?\s*%",
-    "date": r"\b[0-9]{1,2}[./-][0-9]{1,2}(?:[./-][0-9]{2,4})?\b",
-    "list_item": r"^\s*(?:[-•]|[0-9]{1,3}[.)])\s+\S.*",
-    "headline": r"^#{1,6}\s+\S.*",
-}
-
-
-def window_words(text: str, a: int, b: int, around: int = 3, most: int = 160) -> str:
-    """Some words before and after [a, b), squeezed."""
-    before, after = text[:a].split(), text[b:].split()
-    s = " ".join([*before[-around:], text[a:b].strip(), *after[:around]])
-    return re.sub(r"\s+", " ", s)[:most]
+def wants_of(prompt: Column) -> Column:
+    """struct of the intents by name, rank_limit and paragraphs of a prompt."""
+    flags = intents(prompt)
+    return F.struct(*[F.coalesce(flags[n], F.lit(False)).alias(n) for n in ASKED], rank_limit(prompt).alias("rank_limit"), paragraph_selection(prompt).alias("paragraphs"))
 
 
-def window_chars(text: str, a: int, b: int, around: int = 48, most: int = 160) -> str:
-    """[a, b) and some characters around it, snapped to white space."""
-    x, y = max(0, a - around), min(len(text), b + around)
-    while x > 0 and x < a and not text[x - 1].isspace():
-        x += 1
-    while y < len(text) and y > b and not text[y].isspace():
-        y -= 1
-    return text[x:y].strip()[:most]
+CANDIDATE = "array<struct<idx: int, kind: string, quote: string, rank: int>>"
 
 
-def window_lines(text: str, a: int, following: int = 2, most: int = 240) -> str:
-    """The line that holds ``a`` and some after it."""
-    start = text.rfind("\n", 0, a) + 1
-    return "\n".join(text[start:].split("\n")[: 1 + following])[:most]
+def candidates(text: Column, wants: Column, kws: Column, order: Column | None = None) -> Column:
+    """Typed quotes of a chunk under ``wants``; ``order`` is its place, for headlines are at the start."""
+    return _udf(found.chunk_candidates, CANDIDATE)(text, wants, kws, F.lit(0) if order is None else order.cast("int"))
 
 
-def list_candidates(text: str | None, kws: list[str] | None, most: int = 14) -> list[dict]:
-    """Typed quotes of a chunk, each normalised quote once.
+#: kind, the intent under which it matters, and how much: 1 most.
+PRIORITY = (
+    ("new_item", {"product_line": 1, "brand_line": 2, "list_item": 3}),
+    ("ranking", {"rank_item": 1}),
+    ("price", {"price": 1, "percent": 4}),
+    ("availability", {"availability": 1}),
+    ("delivery", {"delivery_keyword": 2, "date": 3}),
+    ("count", {"count_results": 2}),
+    ("reviews", {"rating": 1, "rating_stars": 2, "stars": 3, "count": 4, "review_keyword": 6, "percent": 7}),
+    ("filters", {"filter_keyword": 3}),
+    ("headline", {"headline": 3}),
+    ("list_items", {"list_item": 4}),
+)
 
-    The number in an id counts every attempt, a rejected one too.
-    """
-    out, seen, n = [], set(), 0
-    text = text or ""
-
-    def push(kind: str, quote: str) -> None:
-        nonlocal n
-        n += 1
-        k = re.sub(r"\s+", " ", re.sub("[\"'„”“’«»`]", "", quote.lower())).strip()
-        if k and k not in seen and len(out) < most:
-            seen.add(k)
-            out.append({"idx": n, "kind": kind, "quote": quote.strip()})
-
-    for kind, pattern in KIND.items():
-        line = kind in ("rank_item", "list_item", "headline")
-        for m in re.finditer(pattern, text, re.I | re.M):
-            push(kind, m.group() if line else window_words(text, *m.span()))
-    for k in kws or []:
-        for m in re.finditer(re.escape(k), text, re.I):
-            push("keyword", window_chars(text, *m.span()))
-    return out
 
+def priority(kind: Column, wants: Column) -> Column:
+    """1 to 9: how much a kind matters under the intents; the first that ranks it decides."""
+    out = F
+    for intent, kinds in PRIORITY:
+        asked = wants[intent]
+        if intent in ("price", "delivery"):
+            asked = asked & ~wants[f"exclude_{intent}"]
+        if intent == "new_item":
+            asked = asked & ~wants["ranking"]
+        for k, n in kinds.items():
+            out = out.when(asked & (kind == k), n)
+    return out.when(kind == "keyword", 8).otherwise(9)
 
-def candidates(text: Column, kws: Column) -> Column:
-    return _udf(list_candidates, "array<struct<idx: int, kind: string, quote: string>>")(text, kws)
 
+def select_chunks(chunks: DataFrame, key: str, order: str, most: int = DEFAULT.evidence_chunks) -> DataFrame:
+    """The chunks to read for each key's prompt, ``most`` at most.
 
-def priority(kind: Column) -> Column:
-    return F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, PRIORITY)), kind), F.lit(0)), F.lit(len(PRIORITY) + 1)).cast("int")
+    chunks: key, order, text, wants, score.  Named paragraphs first choose the
+    chunks that cover them; for a ranking, chunks with its lines come alone; else
+    the best scores, and the first chunks where nothing scores.
+    """
+    n = chunks.withColumns({
+        "__hits": F.array_sort(F.array_intersect(sets.paragraph_numbers(F.col("text")), F.coalesce("wants.paragraphs", F.array().cast("array<int>")))),
+        "__lines": F.when(F.col("wants.ranking"), _udf(found.rank_lines, "int")(F.col("text"), F.col("wants.rank_limit"))).otherwise(0),
+    })
+    named = F.coalesce(F.size("wants.paragraphs"), F.lit(0)) > 0
+    hits = n.where(named & (F.size("__hits") > 0)).groupBy(F.col(key).alias("__k")).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("order"), F.col("__hits").alias("hits")))).alias("h"), F.first("wants.paragraphs").alias("p"))  # numbers only
+    pick = _udf(lambda h, p: found.covering([x["hits"] for x in h], p, most), "array<int>")
+    chosen = hits.select("__k", F.transform(pick(F.col("h"), F.col("p")), lambda i: F.get(F.col("h"), i)["order"]).alias("__chosen"))
+    n = n.join(chosen, F.col(key) == F.col("__k"), "left").where(F.col("__chosen").isNull() | F.array_contains("__chosen", F.col(order)))
+    all_ = Window.partitionBy(key)
+    n = n.withColumns({"__ranked": F.max("__lines").over(all_) > 0, "__best": F.max("score").over(all_)})
+    n = n.where(~F.col("__ranked") | (F.col("__lines") > 0))
+    by = F.when(F.col("__ranked") | (F.col("__best") == 0), F.lit(0)).otherwise(-F.col("score"))
+    n = n.withColumn("__n", F.row_number().over(all_.orderBy(by, order))).where(F.col("__n") <= most)
+    return n.drop("__hits", "__lines", "__k", "__chosen", "__ranked", "__best", "__n")
 
 
 def two_level_top(cands: DataFrame, key: str, chunk: str, *order: Column, per_chunk: int = DEFAULT.evidence_per_chunk, total: int = DEFAULT.evidence_total) -> DataFrame:
@@ -198,15 +198,33 @@ def rank_items(text: Column, limit: Column | None = None) -> Column:
     return first if limit is None else F.filter(first, lambda x: x["rank"].between(1, limit))
 
 
-def select_reviews(cands: DataFrame, key: str, order: str, most: int = 3) -> DataFrame:
-    """Quotes with a rating or a count of reviews: combined ones first, one of each signature."""
-    r, c = numbers.rating_signature(F.col("quote")), numbers.count_signature(F.col("quote"))
-    s = cands.withColumns({"rating_sig": r, "count_sig": c}).where("rating_sig is not null or count_sig is not null")
+def select_reviews(cands: DataFrame, key: str, order: str, only: Column | None = None, seller: Column | None = None) -> DataFrame:
+    """The few numbers that stand for the reviews: one quote with rating and count, or one of either; then one more with a review word.
+
+    Quotes that recognition has garbled are left out, and those on sellers unless
+    ``seller``; two in all where the prompt wants them ``only``, else three.
+    """
+    q = F.col("quote")
+    r, c = numbers.rating_signature(q), numbers.count_signature(q)
+    of_seller = seller_review(F.lower(q)) if seller is None else seller_review(F.lower(q)) & ~seller
+    kept = ~ocr_garbage(q) & ~of_seller
+    s = cands.where(kept).withColumns({"rating_sig": r, "count_sig": c, "__most": F.when(F.lit(False) if only is None else only, 2).otherwise(3)}).where("rating_sig is not null or count_sig is not null")
     cls = F.when(F.col("rating_sig").isNotNull() & F.col("count_sig").isNotNull(), 0).when(F.col("rating_sig").isNotNull(), 1).otherwise(2)
-    s = s.withColumn("cls", cls)
-    once = Window.partitionBy(key, "rating_sig", "count_sig").orderBy("cls", order, F.length("quote"))
-    s = s.withColumn("__o", F.row_number().over(once)).where("__o = 1")
-    return s.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("cls", order, F.length("quote"), "rating_sig", "count_sig"))).where(F.col("rank") <= most).drop("__o")
+    sig = F.concat_ws("|", "rating_sig", "count_sig")
+    s = s.withColumns({"cls": cls, "__sig": sig})
+    by = ("cls", order, F.length("quote"), "__sig", "quote")
+    s = s.withColumn("__o", F.row_number().over(Window.partitionBy(key, "__sig").orderBy(*by))).where("__o = 1")
+    mine = Window.partitionBy(key)
+    both = F.min("cls").over(mine) == 0
+    nth = F.row_number().over(Window.partitionBy(key, "cls").orderBy(*by[1:]))
+    first = (F.col("cls") == 0) & (nth == 1) | ~both & (F.col("cls") > 0) & (nth == 1)  # the canonical quotes
+    s = s.withColumn("__first", first)
+    word = ~F.col("__first") & F.regexp_like(F.lower("quote"), F.lit("gwiazd|ocen|opin|rating|recenz|review"))
+    s = s.withColumn("__word", word)
+    more = F.row_number().over(Window.partitionBy(key, "__word").orderBy(*by))
+    s = s.where(F.col("__first") | F.col("__word")).withColumn("__more", more).where(F.col("__first") | (F.col("__more") == 1))
+    s = s.withColumn("rank", F.row_number().over(mine.orderBy(F.col("__first").desc(), *by))).where(F.col("rank") <= F.col("__most"))
+    return s.drop("__o", "__first", "__word", "__more", "__sig", "__most")
 
 
 def select_paragraph_blocks(blocks: DataFrame, key: str, most: int = 120) -> DataFrame:
@@ -248,24 +266,22 @@ def extract(chunks: DataFrame, prompts: DataFrame, key: str) -> DataFrame:
     one for reviews, rating and count quotes; others the typed candidates, by
     priority, four of a chunk and ten in all.
     """
-    p = prompts.select(F.col(key).alias("__k"), "prompt")
-    wants = intents(F.col("prompt"))
-    named = paragraph_selection(F.col("prompt"))
-    p = p.select("__k", named.alias("named"), rank_limit(F.col("prompt")).alias("rank_most"), keywords(F.col("prompt")).alias("kws"), *[c.alias(f"w_{n}") for n, c in wants.items()])
-    kind = F.when(F.size("named") > 0, "paragraphs").when(F.col("w_ranking"), "ranking").when(F.col("w_reviews"), "reviews").otherwise("typed")
-    j = chunks.join(p.withColumn("selector", kind), F.col(key) == F.col("__k")).drop("__k")
-    score = chunk_score(F.col("text"), F.col("kws"), {n: F.col(f"w_{n}") for n in wants})
-    j = top_chunks(j.withColumn("score", score), key, "score", "chunk")
+    asked = F.col("prompt")
+    p = prompts.select(F.col(key).alias("__key"), wants_of(asked).alias("wants"), keywords(asked).alias("kws"))
+    kind = F.when(F.size("wants.paragraphs") > 0, "paragraphs").when(F.col("wants.ranking"), "ranking").when(F.col("wants.reviews"), "reviews").otherwise("typed")
+    j = chunks.join(p.withColumn("selector", kind), F.col(key) == F.col("__key")).drop("__key")
+    score = chunk_score(F.col("text"), F.col("kws"), {n: F.col("wants")[n] for n in ASKED})
+    j = select_chunks(j.withColumn("score", score), key, "chunk")
     out = ["selector", "chunk", "rank", "quote"]
 
-    paras = j.where("selector = 'paragraphs'").select(key, "chunk", F.explode(sets.paragraph_blocks(F.col("text"), F.col("named"))).alias("block"))
+    paras = j.where("selector = 'paragraphs'").select(key, "chunk", F.explode(sets.paragraph_blocks(F.col("text"), F.col("wants.paragraphs"))).alias("block"))
     paras = paras.withColumn("para", F.regexp_extract("block", r"^\[P([0-9]+)\]", 1).try_cast("int"))
     paras = select_paragraph_blocks(paras, key).select(key, F.lit("paragraphs").alias("selector"), F.lit(None).cast("int").alias("chunk"), F.col("para").alias("rank"), F.trim("block").alias("quote"))
 
-    ranked = j.where("selector = 'ranking'").select(key, "chunk", F.explode(rank_items(F.col("text"), F.coalesce("rank_most", F.lit(10)))).alias("x")).select(key, "chunk", "x.rank", "x.quote")
-    ranked = ranked.withColumn("__n", F.row_number().over(Window.partitionBy(key, "rank").orderBy("chunk"))).where("__n = 1").select(key, F.lit("ranking").alias("selector"), "chunk", "rank", "quote")
-
-    cands = j.where("selector in ('reviews', 'typed')").select(key, "selector", "chunk", F.explode(candidates(F.col("text"), F.col("kws"))).alias("c")).select(key, "selector", "chunk", "c.idx", "c.kind", "c.quote")
-    reviews = select_reviews(cands.where("selector = 'reviews'"), key, "chunk").select(key, *out)
-    typed = two_level_top(cands.where("selector = 'typed'").withColumn("p", priority(F.col("kind"))), key, "chunk", F.col("p"), F.col("chunk"), F.col("idx")).select(key, *out)
-    return paras.unionByName(ranked.select(key, *out)).unionByName(reviews).unionByName(typed)
+    c = j.where("selector <> 'paragraphs'").select(key, "selector", "wants", "chunk", F.explode(candidates(F.col("text"), F.col("wants"), F.col("kws"), F.col("chunk"))).alias("c"))
+    c = c.select(key, "selector", "wants", "chunk", "c.idx", "c.kind", "c.quote", F.col("c.rank").alias("item"))
+    ranked = c.where("selector = 'ranking' and kind = 'rank_item'").withColumn("__n", F.row_number().over(Window.partitionBy(key, "item").orderBy("chunk", "idx"))).where("__n = 1").withColumn("rank", F.col("item")).select(key, *out)
+    reviews = select_reviews(c.where("selector = 'reviews'"), key, "chunk", F.col("wants.only"), F.col("wants.seller")).select(key, *out)
+    typed = c.where("selector = 'typed' or selector = 'ranking' and kind <> 'rank_item'").withColumn("p", priority(F.col("kind"), F.col("wants")))
+    typed = two_level_top(typed, key, "chunk", F.col("p"), F.col("chunk"), F.length("quote"), F.col("idx")).select(key, *out)
+    return paras.unionByName(ranked).unionByName(reviews).unionByName(typed)

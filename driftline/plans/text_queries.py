@@ -130,6 +130,9 @@ def char_chunks(spark, d):
     return c.select("doc_id", F.col("chunk").cast("bigint").alias("chunk"), F.sha1("x").alias("chunk_sha1"))
 
 
+#: What documents are asked for by queries that need a prompt.
+PROMPTS = ("price changes only", "opinie i oceny", "new products on the list", "top 5 ranking list of products", "news articles, new entries", "delivery and availability", "headline and password", "paragraphs from 1 to 3", "how many results, filters")
+
 BAND = rf"""
 n AS (SELECT k, text, prev, least(60, greatest(1, CAST(ceil((length(text) - 120) / 780.0) AS INTEGER))) AS nn, least(60, greatest(1, CAST(ceil((length(prev) - 120) / 780.0) AS INTEGER))) AS np FROM p WHERE length(text) > 0 AND length(prev) > 0),
 new AS (SELECT k, i, substr(text, i * 780 + 1, 900) AS c FROM (SELECT k, text, unnest(range(nn)) AS i FROM n)),
@@ -310,9 +313,12 @@ def paragraphs(spark, d):
 
 @query("candidates")
 def candidates(spark, d):
-    """Typed quotes of every document."""
-    c = table(spark, d, "documents").select("doc_id", F.explode(evidence.candidates(F.col("text"), F.array(F.lit("password")))).alias("c"))
-    return c.select("doc_id", "c.idx", "c.kind", "c.quote", evidence.priority(F.col("c.kind")).alias("priority"))
+    """Typed quotes of every document, under prompts of every kind."""
+    prompts = F.array(*map(F.lit, PROMPTS))
+    p = table(spark, d, "documents").select("doc_id", "text", F.get(prompts, F.pmod("doc_id", F.lit(len(PROMPTS))).cast("int")).alias("prompt"))
+    p = p.select("doc_id", "text", evidence.wants_of(F.col("prompt")).alias("wants"), evidence.keywords(F.col("prompt")).alias("kws"))
+    c = p.select("doc_id", "wants", F.explode(evidence.candidates(F.col("text"), F.col("wants"), F.col("kws"))).alias("c"))
+    return c.select("doc_id", "c.idx", "c.kind", "c.quote", "c.rank", evidence.priority(F.col("c.kind"), F.col("wants")).alias("priority"))
 
 
 @query("nfkc_clean")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from driftline.config import EngineConfig
 from driftline.functions import numbers, predicates, sets
 from driftline.functions import text as t
-from driftline.operators import diffs, evidence, html, line_folds, lines
+from driftline.operators import candidates, diffs, evidence, html, line_folds, lines
 
 
 def one(spark, expr, **cols):
@@ -178,11 +178,71 @@ def test_evidence(spark):
     assert evidence.select_paragraphs("the second paragraph") == [2]
     items = one(spark, evidence.rank_items(F.lit("- #1 A\n- #2 B\n- #12 C"), F.lit(10)))
     assert [(x.rank, x["quote"]) for x in items] == [(1, "- #1 A"), (2, "- #2 B")]
-    kinds = [c["kind"] for c in evidence.list_candidates("- Item 10 zł\n4,5/5\n# Head", ["item"])]
-    assert {"price", "rating", "list_item", "headline"} <= set(kinds)
     assert one(spark, evidence.intents(F.lit("ignoruj cenę, tylko opinie"))["exclude_price"])
 
 
+def found(text, kws=(), order=0, most=14, **wants):
+    return [(c["kind"], c["quote"]) for c in candidates.chunk_candidates(text, wants, list(kws), order, most)]
+
+
+def test_candidates_follow_intents():
+    shop = "Mug blue\n- Mug 300 ml, 10 zł\n- SALE NOW\nrata 20 zł\n4,5/5 (120 opinii)\n99% kupujacych polec\nwysyłka 24.12.2024"
+    assert found(shop, price=True) == [("price", "- Mug 300 ml, 10 zł\n- SALE NOW")]  # the instalment's is noise, the percentage a seller's
+    dates = [("date", "4,5/5 (120 opinii)\n99% kupujacych polec"), ("date", "wysyłka 24.12.2024")]  # 5/5 may be one
+    assert found(shop, price=True, exclude_price=True) == dates
+    assert found("no money here", price=True, only=True) == []
+    assert found(shop, reviews=True) == [("rating", "4,5/5 (120 opinii)\n99% kupujacych polec"), ("count", "4,5/5 (120 opinii)")]
+    assert found("★★★★ good", reviews=True) == [("stars", "★★★★ good")]
+    assert found(shop, new_item=True)[0] == ("product_line", "- Mug 300 ml, 10 zł")
+    assert found(shop, ["lamp"], new_item=True)[0][0] == "date"  # nothing new is a lamp
+    assert found("Sport\n- Match ends in a draw\nBrand: X", new_item=True, news_list=True)[:2] == [("news_line", "- Match ends in a draw"), ("brand_line", "Brand: X")]
+    assert found("Najnowsze wiadomości\n- Match ends", new_item=True, news_list=True)[0] == ("news_header", "Najnowsze wiadomości")
+    assert found(shop, delivery=True) == [("delivery_keyword", "wysyłka 24.12.2024"), dates[0]]
+    assert found(shop, delivery=True, exclude_delivery=True)[-1] == ("date", "wysyłka 24.12.2024")
+    assert found("sold out, back soon", availability=True) == [("availability", "sold out, back soon")]
+    assert found("1 200 wyników", count=True) == [("count_results", "1 200 wyników")]
+    assert [q for k, q in found(shop, headline=True) if k == "headline"] == ["Mug blue", "rata 20 zł", "4,5/5 (120 opinii)"]
+    assert ("headline", "Mug blue") not in found(shop, headline=True, order=3)
+    assert found("- #1 A\n- #2 B\n- #12 C", ranking=True, rank_limit=10) == [("rank_item", "- #1 A"), ("rank_item", "- #2 B")]
+    assert found("- #12 C", ranking=True, rank_limit=10) == [] and found("5% off", ranking=True) == [("percent", "5% off")]
+    assert found("[P001] 5%\n[P002] 6%", paragraphs=[2]) == [("percent", "[P002] 6%")]
+    assert found("a b c d e KEY f g h i", ["key"]) == [("keyword", "c d e KEY f g h")]
+    assert len(found(" ".join(f"{i}%" for i in range(40)))) == 14 and found(None, ["x"]) == []
+
+
+def test_windows():
+    text = "one two\nthree four\nfive six"
+    assert candidates.window_lines(text, 8, 13) == "three four" and candidates.window_lines(text, 8, 13, 1) == "three four\nfive six"
+    assert candidates.window_words("aa bb cc dd ee ff gg hh", 9, 11) == "aa bb cc dd ee ff gg" and candidates.window_words("xabcx", 1, 4) == "xabcx"
+    assert candidates.window_chars("aaaa bbbb cccc dddd", 10, 14, 6) == "bbbb cccc dddd"
+    assert len(candidates.window_lines("x" * 500 + "\ny", 5, 6)) <= 180
+    assert candidates.covering([[1], [1], None, [2, 3], [3]], [1, 2, 3], 2) == [0, 3]
+    assert candidates.covering([[1], [1], None, [2, 3], [3]], [1, 2, 3], 9) == [0, 1, 3, 4]
+
+
+def test_priority_and_chunks(spark):
+    rank = lambda prompt, kind: one(spark, evidence.priority(F.lit(kind), evidence.wants_of(F.lit(prompt))))
+    assert [rank("price changes", k) for k in ("price", "percent", "keyword", "date")] == [1, 4, 8, 9]
+    assert rank("opinie i cena", "percent") == 4 and rank("opinie", "percent") == 7 and rank("ignore price, opinie", "price") == 9
+    rows = [("k", i, f"[P00{i}] text {i}", "price 5 zł" if i == 4 else "") for i in range(1, 7)]
+
+    def chosen(prompt, most):
+        c = spark.createDataFrame([(k, i, x + y) for k, i, x, y in rows], "key string, chunk int, text string")
+        w = evidence.wants_of(F.lit(prompt))
+        c = c.withColumns({"wants": w, "score": evidence.chunk_score(F.col("text"), F.array().cast("array<string>"), evidence.intents(F.lit(prompt)))})
+        return sorted(r.chunk for r in evidence.select_chunks(c, "key", "chunk", most).collect())
+
+    assert chosen("paragraphs 2 and 5", 3) == [2, 5] and chosen("price", 1) == [4] and chosen("nothing of it", 2) == [1, 2]
+
+
+def test_review_quotes(spark):
+    rows = [(1, "ocena 4,5/5"), (2, "120 opinii i 4,5/5"), (3, "120 opinii"), (4, "czas realizacji 5/5, 9 opinii"), (5, "300 opinii"), (6, "aaaaaaa 3/5")]
+    c = spark.createDataFrame([("k", i, q) for i, q in rows], "key string, n int, quote string")
+    got = lambda **a: [r.n for r in evidence.select_reviews(c, "key", "n", **a).orderBy("rank").collect()]
+    assert got() == [2, 1] and got(only=F.lit(True)) == [2, 1]
+    assert got(seller=F.lit(True)) == [2, 4]
+
+
 def test_decisions(spark):
     same = one(spark, diffs.decision(F.lit(True), F.lit(True), F.array(F.lit("A  b")), F.array(F.lit("a b"))))
     assert not same.important
