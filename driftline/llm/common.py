@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from driftline.sources.tables import table
 
 TOKENIZER_DIR = "/opt/tokenizers"
 BPE_RANKS = f"{TOKENIZER_DIR}/byte_bpe_50k.tiktoken"
@@ -37,20 +39,23 @@ def bounded_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     bounded_batches(spark)
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return table(spark, sf_dir, name)
 
 
 def shared_dir(spark: SparkSession) -> None:
     """Point checkpoints at the cluster's shared folder.
 
-    The folder named in ``spark.checkpoint.dir`` is used as it is; one of our
-    own is set only where the session names none (local tests).
+    The folder named in ``spark.checkpoint.dir`` is used as it is; where the
+    session names none, one of our own is set if all runs in this process, and
+    on a cluster it is an error: its machines share no temporary folder.
     """
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and re.fullmatch(r"local(\[[^]]*\])?", sc.master) is None:
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="driftline-checkpoint-"))
 
 
@@ -63,12 +68,9 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def doc_hash(*cols: str):
-    """128 bits of hash as two bigint columns ``h1`` and ``h2``."""
-    return (
-        F.xxhash64(*cols).alias("h1"),
-        F.xxhash64(F.lit("driftline"), *cols).alias("h2"),
-    )
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def text_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
