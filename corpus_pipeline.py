@@ -2,6 +2,21 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read again as the next one's ``docs``.
+
+Defined results:
+
+* quality rules: a document of a language without reference, or too short to
+  judge (null and empty texts too), stays.
+* line dedup: the first document in order of doc_id keeps a line; a document
+  that loses all its lines goes, one that had none (null, empty text) stays.
+* near duplicates: the least doc_id of each group stays; documents without
+  words, and rows without a doc_id, stay; repeated rows stay or go together.
+* personal data: null and empty texts stay as they are, nothing goes.
+* packing: documents without tokens have no row; equal sizes are placed in order
+  of doc_id, then of position.
+* very long texts are read whole in every stage.  All but the last return the
+  columns of ``docs``, whatever else and under whatever names there is.  An
+  empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -53,11 +68,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and reread."""
+    """All stages over ``documents``, each written to the shared folder and reread.
+
+    What the stage before wrote is deleted when the next one's is complete; the
+    last one's input stays for as long as the result is read.
+    """
     common.shared_dir(spark)
     base = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     docs = common.read(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{i}")
         docs = spark.read.parquet(f"{base}/{i}")
+        if i:
+            common.delete(spark, f"{base}/{i - 1}")
     return STAGES[-1][1](spark, docs, sf_dir)
