@@ -12,15 +12,18 @@ Defined results:
 * links without a host are the page's own host's and are no edge.
 * without seeds on one side, that side's rank is 0 for every host; if seeds are
   named but none is among the hosts, a warning says so.
-* repeated pages count their links again; other columns are never read; an
-  empty table gives an empty result.
+* repeated pages count their links again; hosts of equal rank are equal, so
+  ties need no order; other columns are never read; an empty table gives an
+  empty result.
 """
 
 from __future__ import annotations
 
+import math
 import warnings
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,12 +36,16 @@ LINK = r"(?i)<a\s[^>]*?href\s*=\s*[\"']?(?:https?:)?//(?:[^/?#@\"'>\s]*@)?([^/?#
 @dataclass(frozen=True)
 class Settings:
     trusted: tuple[str, ...] = ("example.org",)  # these hosts and all below them
-    blocked: tuple[str, ...] = ("tionsh.example.net", "m.tiontion.example.com")
+    blocked: tuple[str, ...] = ("example.net",)
     damping: float = 0.85
-    rounds: int = 12
+    tolerance: float = 0.01  # share of the mass that may be left unspread
     threshold: float = 0.0  # of distrust over trust
     checkpoint_every: int = 4
 
+    def rounds(self) -> int:
+        """After k rounds damping^(k + 1) of the mass is unspread at most, whatever the graph."""
+        return max(0, math.ceil(math.log(self.tolerance) / math.log(self.damping)) - 1)
+
 
 def _of(host: Column, suffixes: tuple[str, ...]) -> Column:
     found = F.lit(False)
@@ -47,69 +54,78 @@ def _of(host: Column, suffixes: tuple[str, ...]) -> Column:
     return found
 
 
-def page_hosts(pages: DataFrame) -> DataFrame:
+def page_links(pages: DataFrame) -> DataFrame:
+    """page_id, host, links (hosts): all that is needed of pages, found in one pass."""
     host = F.lower(F.regexp_extract("url", HOST, 1))
-    return pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.when(host != "", host).alias("host"), F.col("html").alias("html"))
+    links = F.transform(F.regexp_extract_all("html", F.lit(LINK), F.lit(1)), F.lower)
+    return pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.when(host != "", host).alias("host"), links.alias("links"))
 
 
-def host_edges(pages: DataFrame) -> DataFrame:
+def host_edges(linked: DataFrame) -> DataFrame:
     """src, dst, weight: links between different hosts."""
-    p = page_hosts(pages).where("host is not null")
-    links = p.select(F.col("host").alias("src"), F.explode(F.regexp_extract_all("html", F.lit(LINK), F.lit(1))).alias("dst"))
-    links = links.select("src", F.lower("dst").alias("dst")).groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
+    p = linked.where("host is not null")
+    links = p.select(F.col("host").alias("src"), F.explode("links").alias("dst")).groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
     hosts = p.select("host").distinct()
     part = hosts.where(F.size(F.split("host", r"\.")) > 2).select("host", F.regexp_replace("host", r"^[^.]*\.", "").alias("domain"))
-    up, down = part.select(F.col("host").alias("src"), F.col("domain").alias("dst")), part.select(F.col("domain").alias("src"), F.col("host").alias("dst"))
-    one = F.lit(1.0)
-    return links.unionByName(up.withColumn("weight", one)).unionByName(down.withColumn("weight", one)).where("src <> dst").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    ends = F.explode(F.array(F.struct(F.col("host").alias("src"), F.col("domain").alias("dst")), F.struct(F.col("domain").alias("src"), F.col("host").alias("dst"))))
+    both = part.select(ends.alias("e")).select("e.src", "e.dst", F.lit(1.0).alias("weight"))
+    return links.unionByName(both).where("src <> dst").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def personalised_rank(hosts: DataFrame, edges: DataFrame, s: Settings) -> DataFrame:
-    """host, rank after ``rounds`` rounds.
+def personalised_ranks(hosts: DataFrame, edges: DataFrame, s: Settings) -> DataFrame:
+    """side, host, rank: the personalised ranks of all sides in one loop.
 
-    ``hosts``: host, seed (its share of the restart mass); ``edges``: src, dst,
-    share (of the source's mass).  Mass of hosts without edges goes back to the
-    seeds, as the restart does.
+    ``hosts``: side, host, seed (its share of the restart mass); ``edges``:
+    side, src, dst, share (of the source's mass).  Each round passes on the mass
+    that came in the round before and adds it up; what hosts without edges would
+    give back to the seeds is the same for all hosts as scaling the sums to 1.
+    The edges are put in place once; a round shuffles sums by host only.
     """
-    nodes = cut(hosts.join(edges.groupBy(F.col("src").alias("host")).agg(F.lit(True).alias("goes")), "host", "left").select("host", "seed", F.coalesce("goes", F.lit(False)).alias("goes")))
-    ranks = nodes.select("host", F.col("seed").alias("rank"))
-    for i in range(s.rounds):
-        moved = edges.join(ranks, edges.src == ranks.host).groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("rank") * F.col("share")).alias("came"))
-        stuck = nodes.join(ranks, "host").where("not goes").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("stuck"))
-        back = (F.lit(1 - s.damping) + F.lit(s.damping) * F.col("stuck")) * F.col("seed")
-        ranks = nodes.join(moved, "host", "left").crossJoin(F.broadcast(stuck)).select("host", (back + F.lit(s.damping) * F.coalesce("came", F.lit(0.0))).alias("rank"))
+    spark = hosts.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    own = hosts.select("side", F.col("host").alias("src"), F.lit(None).cast("string").alias("dst"), F.lit(0.0).alias("share"))  # keeps a host's sum
+    placed = edges.unionByName(own).repartition(n, "side", "src").persist(StorageLevel.MEMORY_AND_DISK)
+    start = F.lit(1 - s.damping) * F.col("seed")
+    state = hosts.select("side", "host", start.alias("came"), start.alias("total"))
+    for i in range(s.rounds()):
+        at = state.withColumnsRenamed({"side": "__side", "host": "__host"})
+        met = placed.join(at, (F.col("side") == F.col("__side")) & (F.col("src") == F.col("__host")))
+        passed = F.lit(s.damping) * F.col("came") * F.col("share")
+        met = met.select("side", F.coalesce("dst", "src").alias("host"), passed.alias("came"), F.when(F.col("dst").isNull(), F.col("total")).otherwise(passed).alias("total"))
+        state = met.groupBy("side", "host").agg(F.sum("came").alias("came"), F.sum("total").alias("total"))
         if (i + 1) % s.checkpoint_every == 0:
-            ranks = cut(ranks)
-    return ranks
-
+            state = cut(state)
+    state = cut(state)
+    placed.unpersist()
+    whole = state.groupBy("side").agg(F.sum("total").alias("whole"))  # a row a side
+    return state.join(F.broadcast(whole), "side").select("side", "host", F.coalesce(F.try_divide("total", "whole"), F.lit(0.0)).alias("rank"))
 
-def _shares(edges: DataFrame, reverse: bool) -> DataFrame:
-    src, dst = ("dst", "src") if reverse else ("src", "dst")
-    e = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst"), "weight")
-    total = e.groupBy("src").agg(F.sum("weight").alias("total"))
-    return cut(e.join(total, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")))
 
-
-def host_decisions(pages: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """host, trust, distrust, keep."""
-    edges = cut(host_edges(pages))
-    named = page_hosts(pages).where("host is not null").select("host")
+def host_decisions(linked: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """host, trust, distrust, keep; ``linked`` as of ``page_links``."""
+    edges = cut(host_edges(linked))
+    named = linked.where("host is not null").select("host")
     hosts = cut(named.unionByName(edges.select(F.col("src").alias("host"))).unionByName(edges.select(F.col("dst").alias("host"))).distinct())
-    out = hosts
-    for name, suffixes, reverse in (("trust", s.trusted, False), ("distrust", s.blocked, True)):
-        seeds = hosts.select("host", _of(F.col("host"), suffixes).cast("double").alias("s"))
-        total = seeds.agg(F.sum("s").alias("all"))
-        if suffixes and total.first()["all"] == 0:
-            warnings.warn(f"op6_url_link_graph: no host matches the seeds of {name} {suffixes}, so it is 0 for all hosts", stacklevel=2)
-        seeded = seeds.crossJoin(F.broadcast(total)).select("host", F.coalesce(F.try_divide("s", "all"), F.lit(0.0)).alias("seed"))
-        out = out.join(personalised_rank(seeded, _shares(edges, reverse), s).withColumnRenamed("rank", name), "host")
-    return out.withColumn("keep", F.col("distrust") - F.col("trust") <= s.threshold)
+    seeded, shares = [], []
+    for side, suffixes, (src, dst) in (("trust", s.trusted, ("src", "dst")), ("distrust", s.blocked, ("dst", "src"))):
+        seeds = hosts.select(F.lit(side).alias("side"), "host", _of(F.col("host"), suffixes).cast("double").alias("s"))
+        total = seeds.agg(F.sum("s")).first()[0]
+        if suffixes and total == 0:
+            warnings.warn(f"op6_url_link_graph: no host matches the seeds of {side} {suffixes}, so it is 0 for all hosts", stacklevel=2)
+        seeded.append(seeds.select("side", "host", (F.col("s") / (total or 1.0)).alias("seed")))
+        e = edges.select(F.lit(side).alias("side"), F.col(src).alias("src"), F.col(dst).alias("dst"), "weight")
+        out = e.groupBy("src").agg(F.sum("weight").alias("out"))
+        shares.append(e.join(out, "src").select("side", "src", "dst", (F.col("weight") / F.col("out")).alias("share")))
+    ranks = personalised_ranks(seeded[0].unionByName(seeded[1]), shares[0].unionByName(shares[1]), s)
+    of = lambda side: F.sum(F.when(F.col("side") == side, F.col("rank"))).alias(side)
+    return ranks.groupBy("host").agg(of("trust"), of("distrust")).withColumn("keep", F.col("distrust") - F.col("trust") <= s.threshold)
 
 
 def filter_pages(pages: DataFrame, s: Settings = Settings()) -> DataFrame:
     """page_id, host, trust, distrust, keep of every page."""
-    p = page_hosts(pages).drop("html")
-    return p.join(host_decisions(pages, s), "host", "left").select("page_id", "host", F.round("trust", 9).alias("trust"), F.round("distrust", 9).alias("distrust"), F.coalesce("keep", F.lit(True)).alias("keep"))
+    linked = cut(page_links(pages))
+    p = linked.select("page_id", "host")
+    return p.join(host_decisions(linked, s), "host", "left").select("page_id", "host", F.round("trust", 9).alias("trust"), F.round("distrust", 9).alias("distrust"), F.coalesce("keep", F.lit(True)).alias("keep"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -122,7 +138,7 @@ def _oracle(s: Settings = Settings()) -> str:
 
     link = LINK.replace("'", "''")
     sql = f"""
-WITH p AS MATERIALIZED (
+WITH RECURSIVE p AS MATERIALIZED (
   SELECT page_id, nullif(lower(regexp_extract(url, '{HOST}', 1)), '') AS host, html FROM pages
 ), links AS (
   SELECT src, dst, CAST(count(*) AS DOUBLE) AS weight FROM (
@@ -139,18 +155,18 @@ WITH p AS MATERIALIZED (
     for name, suffixes, src, dst in (("trust", s.trusted, "src", "dst"), ("distrust", s.blocked, "dst", "src")):
         sql += f""", {name}_edges AS MATERIALIZED (
   SELECT {src} AS src, {dst} AS dst, weight / sum(weight) OVER (PARTITION BY {src}) AS share FROM edges
-), {name}_nodes AS MATERIALIZED (
-  SELECT host, coalesce(s / nullif(sum(s) OVER (), 0), 0) AS seed, host IN (SELECT src FROM {name}_edges) AS goes
-  FROM (SELECT host, CASE WHEN {of(suffixes)} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS s FROM hosts)
-), {name}_0 AS MATERIALIZED (SELECT host, seed AS rank FROM {name}_nodes)"""
-        for i in range(s.rounds):
-            sql += f""", {name}_{i + 1} AS MATERIALIZED (
-  SELECT n.host, ({1 - s.damping}::DOUBLE + {s.damping}::DOUBLE * (SELECT coalesce(sum(r.rank), 0) FROM {name}_{i} r JOIN {name}_nodes m USING (host) WHERE NOT m.goes)) * n.seed
-    + {s.damping}::DOUBLE * coalesce((SELECT sum(r.rank * e.share) FROM {name}_edges e JOIN {name}_{i} r ON e.src = r.host WHERE e.dst = n.host), 0) AS rank
-  FROM {name}_nodes n)"""
+), {name}_seeds AS MATERIALIZED (
+  SELECT host, {1 - s.damping}::DOUBLE / count(*) OVER () AS mass FROM hosts WHERE {of(suffixes)}
+), {name}_round AS (
+  SELECT 0 AS i, host, mass FROM {name}_seeds
+  UNION ALL
+  SELECT i + 1, dst, sum({s.damping}::DOUBLE * mass * share) FROM {name}_round r JOIN {name}_edges e ON e.src = r.host WHERE i < {s.rounds()} GROUP BY i + 1, dst
+), {name}_rank AS (
+  SELECT host, coalesce(total / sum(total) OVER (), 0) AS rank FROM (SELECT h.host, coalesce(sum(mass), 0) AS total FROM hosts h LEFT JOIN {name}_round r ON r.host = h.host GROUP BY h.host)
+)"""
     return sql + f"""
 SELECT p.page_id, p.host, round(t.rank, 9) AS trust, round(d.rank, 9) AS distrust, coalesce(d.rank - t.rank <= {s.threshold}, TRUE) AS keep
-FROM p LEFT JOIN trust_{s.rounds} t ON p.host = t.host LEFT JOIN distrust_{s.rounds} d ON p.host = d.host
+FROM p LEFT JOIN trust_rank t ON p.host = t.host LEFT JOIN distrust_rank d ON p.host = d.host
 """
 
 

@@ -93,7 +93,8 @@ class Packet:
     start: int
     end: int
     cluster: int
-    duration: int | None = None  # in ticks
+    duration: int | None = None  # of the whole block, in ticks
+    laced: int = 1  # frames of the block
 
 
 @dataclass
@@ -150,8 +151,9 @@ def _block(m: Media, b: bytes, a: int, z: int, cluster: int, cluster_time: int,
     time = cluster_time + int.from_bytes(b[p : p + 2], "big", signed=True)
     flags = b[p + 2]
     lacing = flags >> 1 & 3
-    for i, (x, y) in enumerate(frames(b, p + 3, z, lacing)):
-        m.packets.append(Packet(track, time, bool(flags & 0x80) if key is None else key, LACINGS[lacing], i, x, y, cluster, duration))
+    parts = frames(b, p + 3, z, lacing)
+    for i, (x, y) in enumerate(parts):
+        m.packets.append(Packet(track, time, bool(flags & 0x80) if key is None else key, LACINGS[lacing], i, x, y, cluster, duration, len(parts)))
 
 
 def _cluster(m: Media, b: bytes, start: int, a: int, z: int, unknown: bool) -> int:
@@ -241,7 +243,11 @@ def _rows(media_id: int | None, blob: bytes) -> Iterator[tuple]:
     for i, p in enumerate(m.packets):
         kind, codec, usual = m.tracks.get(p.track, (None, None, None))
         frame = p.duration * m.scale if p.duration is not None else usual
-        time = p.time * m.scale + p.lace_index * (usual or 0)
+        if p.duration is not None and p.laced > 1:  # a block's duration is that of all its frames
+            first, frame = frame * p.lace_index // p.laced, frame * (p.lace_index + 1) // p.laced - frame * p.lace_index // p.laced
+        else:
+            first = p.lace_index * (usual or 0)
+        time = p.time * m.scale + first
         yield media_id, i, p.track, kind, codec, time, frame, p.key, p.lacing, p.lace_index, p.start, p.end, p.cluster, p.cluster in cued, None
     if m.error:
         yield (media_id, *[None] * 13, m.error)
@@ -322,7 +328,7 @@ def container(tracks: list[tuple[int, int, str, int | None]], clusters: list[tup
 
 
 def page_container(page_id: int, url: str | None, html: str | None) -> bytes | None:
-    """A recording of a page: its html as video frames, words as laced audio frames, the url as a subtitle."""
+    """A recording of a page: its html as video frames, its words, sixteen a frame, as laced audio, the url as a subtitle."""
     if html is None:
         return None
     data, clusters = html.encode(), []
@@ -330,10 +336,13 @@ def page_container(page_id: int, url: str | None, html: str | None) -> bytes | N
         part, blocks = data[at : at + 4096], []
         for k in range(0, len(part), 512):
             blocks.append(element(SIMPLE, block(1, k // 8, [part[k : k + 512]], key=k == 0)))
-        words = part.split(b" ")[:24]
-        lacing = (page_id + c) % 3 + 1
-        words = [w[:4].ljust(4) for w in words] if lacing == 2 else words
-        blocks.append(element(SIMPLE, block(2, 5, words, lacing)))
+        words, lacing = part.split(b" "), (page_id + c) % 3 + 1
+        phrases = [b" ".join(words[k : k + 16]) for k in range(0, len(words), 16)]
+        for k in range(0, len(phrases), 24):  # frames of one size where the lacing asks for it
+            some = phrases[k : k + 24]
+            width = max(map(len, some))
+            some = [w.ljust(width) for w in some] if lacing == 2 else some
+            blocks.append(element(SIMPLE, block(2, 5 + k, some, lacing)))
         if c == 0 and url:
             blocks.append(element(GROUP, element(BLOCK, block(3, 0, [url.encode()], simple=False)) + number(DURATION, 1000)))
         clusters.append((c * 1000, blocks))

@@ -108,7 +108,8 @@ def pack(pieces: DataFrame, limits: Limits = Limits(), shard_size: int = 4096) -
         return pa.table([table.column("shard"), pa.array(bins, pa.int32()), pa.array(slot, pa.int32()), *(table.column(c) for c in ("doc_id", "start", "tokens", "segments", "loss_tokens"))], names=["shard", "bin", "slot", "doc_id", "start", "tokens", "segments", "loss_tokens"])
 
     keyed = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start"), F.lit(shards)).cast("bigint"))
-    return keyed.groupBy("shard").applyInArrow(run, ROWS)
+    tasks = min(shards, int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return keyed.repartition(tasks, "shard").groupBy("shard").applyInArrow(run, ROWS)  # a shard is much work and few bytes: not to be merged into few tasks
 
 
 def document_pieces(docs: DataFrame, limits: Limits, tokenizer: str = BPE_RANKS) -> DataFrame:

@@ -39,6 +39,7 @@ from driftline.llm.common import PIECE_MODEL, read
 
 SHORT = 48  # longest stretch that is remembered
 REMEMBERED = 400_000
+PAIRS_REMEMBERED = 2_000_000
 PART = 256  # characters of a longer stretch between looks at what is final
 SPACE = "▁"
 
@@ -77,6 +78,7 @@ class PieceModel:
         self.ids = [self.id_of[t] for t in self.text]
         self._halves: dict[int, tuple[int, int]] = {}
         self._fits: list[dict[int, bool]] = [{} for _ in self.text]  # by the second piece, then by the first
+        self._known = 0
         #: Pieces read backwards; the rank of a whole one is under 0.
         self.backwards: dict = {}
         for t, r in self.rank.items():
@@ -125,10 +127,14 @@ class PieceModel:
         Both are taken apart in the reverse order of merging; if a merge across
         the seam would ever have come first, they don't.
         """
-        known = self._fits[b]
-        found = known.get(a)
+        found = self._fits[b].get(a)
         if found is None:
-            found = known[a] = self._fits_now(a, b)
+            if self._known >= PAIRS_REMEMBERED:
+                for known in self._fits:
+                    known.clear()
+                self._known = 0
+            self._known += 1
+            found = self._fits[b][a] = self._fits_now(a, b)
         return found
 
     def _fits_now(self, a: int, b: int) -> bool:

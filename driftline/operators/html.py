@@ -196,21 +196,47 @@ def finalise(lines: Column, most: int = 2_500) -> Column:
 
 
 def container_score(html: str | None) -> dict | None:
-    """The best container: length, paragraphs and headings weighed."""
+    """The best container: length, paragraphs and headings weighed.
+
+    The page is walked once into one text; a container is a span of it, and the
+    paragraphs and headings in it are those that began in its span.
+    """
     if not html:
         return None
-    best = None
-    for n in Tree(html).root.descend():
-        named = n.tag in ("article", "main") or n.attrs.get("role") == "main" or n.attrs.get("id") == "content"
-        if not named and n.tag != "div":
+    parts: list[str] = []
+    size = ps = hs = 0
+    found: list[tuple[Node, bool, int, int, bool, int, int]] = []  # ... start, end, shown, paragraphs, headings
+    stack: list = [(Tree(html).root, True)]
+    while stack:
+        x, shown = stack.pop()
+        if isinstance(x, str):
+            if shown:
+                parts.append(x)
+                size += len(x)
+        elif isinstance(x, tuple):  # a container ends
+            node, named, start, p, head, visible = x
+            found.append((node, named, start, size, visible, ps - p, hs - head))
+        else:
+            named = x.tag in ("article", "main") or x.attrs.get("role") == "main" or x.attrs.get("id") == "content"
+            ps += x.tag == "p"
+            hs += x.tag in ("h1", "h2", "h3")
+            if x.tag == "br" and shown:
+                parts.append("\n")
+                size += 1
+            inside = shown and x.tag not in SKIP
+            if named or x.tag == "div":
+                stack.append(((x, named, size, ps, hs, inside), shown))
+            stack.extend((c, inside) for c in reversed(x.parts))
+    whole, best = "".join(parts), None
+    for node, named, start, end, visible, p, h in sorted(reversed(found), key=lambda f: (f[2], -f[3])):
+        if not named and (p < 3 or end - start <= 500):
             continue
-        ps = sum(x.tag == "p" for x in n.descend())
-        text = inline(n.text())
-        if not named and (ps < 3 or len(text) <= 500):
+        text = inline(whole[start:end]) if visible else inline(node.text())
+        if not named and len(text) <= 500:
             continue
-        score = min(len(text) / 8000, 1.0) + min(ps / 20, 0.5) + (0.1 if any(re.fullmatch("h[1-3]", x.tag) for x in n.descend()) else 0.0)
+        score = min(len(text) / 8000, 1.0) + min(p / 20, 0.5) + (0.1 if h else 0.0)
         if best is None or score > best["score"]:
-            best = {"tag": n.tag, "score": score, "text": text}
+            best = {"tag": node.tag, "score": score, "text": text}
     return best
 
 
@@ -243,11 +269,12 @@ def links(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(r"(?is)<a\s[^>]*href=[\"']([^\"']*)[\"']"), F.lit(1))
 
 
-def paragraphs(html: Column) -> Column:
-    """Text of the closed p elements."""
+def paragraphs(html: Column, most: int | None = None) -> Column:
+    """Text of the closed p elements, of the first ``most`` of them; blank ones are left out then."""
     bare = F.regexp_replace(html, r"(?is)<(?:script|style)[^>]*>.*?</(?:script|style)>", " ")
     raw = F.regexp_extract_all(bare, F.lit(r"(?is)<p[^>]*>(.*?)</p>"), F.lit(1))
-    return F.filter(F.transform(raw, lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, "(?s)<[^>]+>", " "), r"[ \n\t\r]+", " "))), lambda x: x != "")
+    raw = raw if most is None else F.slice(raw, 1, most)
+    return F.filter(F.transform(raw, lambda x: t.squeeze_strict(F.regexp_replace(x, "(?s)<[^>]+>", " "))), lambda x: x != "")
 
 
 def url_norm(url: Column) -> Column:
@@ -275,7 +302,7 @@ def meta_candidate(html: Column) -> Column:
 
 
 def fallback_candidate(html: Column) -> Column:
-    text = F.array_join(F.slice(paragraphs(html), 1, 6), "\n")
+    text = F.array_join(paragraphs(html, 6), "\n")
     return F.struct(title(html).alias("title"), meta(html, "description").alias("description"), text.alias("text"), F.when(text != "", 0.35).otherwise(0.2).alias("confidence"))
 
 
@@ -379,23 +406,26 @@ PRICE_MARKS = ("itemprop", "data-price", "data-price-value", "data-main-price")
 NO_PRICE = re.compile(r"(?i)rat[ay]\b|miesi[eę]cz|\bod[ :]|u[zż]ywan|najni[zż]sza|outlet")
 
 
-def main_price(html: str | None) -> str | None:
-    """The page's price by attributes, then by class; instalments and used goods aside."""
+def price_texts(html: str | None) -> list[str]:
+    """What may be the page's price, by attributes, then by class; instalments and used goods aside."""
     if not html:
-        return None
+        return []
+    out = []
     nodes = list(Tree(html).root.descend())
     classes = ("price", "price__value", "product-price", "offer-price", "main-price", "product__price")
     tests = [lambda n: n.attrs.get("itemprop") == "price", *[(lambda n, k=k: k in n.attrs) for k in PRICE_MARKS[1:]], *[(lambda n, c=c: c in n.attrs.get("class", "").split()) for c in classes]]
     for ok in tests:
         for n in filter(ok, nodes):
             text = next((n.attrs[k] for k in ("content", "value", *PRICE_MARKS[1:]) if n.attrs.get(k)), "") or inline(n.text())
-            if text and re.search(r"\d", text) and not NO_PRICE.search(inline(n.text())):
-                return text
-    return None
+            if text and not NO_PRICE.search(text):
+                out.append(text)
+    return list(dict.fromkeys(out))
 
 
 def price_of_dom(html: Column) -> Column:
-    return numbers.price(_udf(main_price, "string")(html))
+    """The first of ``price_texts`` that is a price."""
+    prices = F.transform(_udf(price_texts, "array<string>")(html), numbers.price)
+    return F.get(F.filter(prices, lambda x: x.isNotNull()), F.lit(0))
 
 
 # --- choice

@@ -52,10 +52,11 @@ def paragraphs(spark, d):
 
 @query("html_fallback_extract", r"""
 WITH b AS (SELECT page_id, html, regexp_extract_all(regexp_replace(html, '(?is)<(?:script|style)[^>]*>.*?</(?:script|style)>', ' ', 'g'), '(?is)<p[^>]*>(.*?)</p>', 1) AS ps FROM pages)
-SELECT page_id, nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '') AS title, CASE WHEN len(list_filter(ps, lambda x: trim(regexp_replace(x, '(?s)<[^>]+>', ' ', 'g')) <> '')) > 0 THEN 0.35 ELSE 0.2 END::DOUBLE AS confidence FROM b""")
+SELECT page_id, nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '') AS title, CASE WHEN len(ls) > 0 THEN 0.35 ELSE 0.2 END::DOUBLE AS confidence, sha1(array_to_string(ls, chr(10))) AS text_sha1
+FROM (SELECT *, list_filter(list_transform(ps[1:6], lambda x: trim(regexp_replace(regexp_replace(x, '(?s)<[^>]+>', ' ', 'g'), '[\s\x{00A0}\x{FEFF}]+', ' ', 'g'))), lambda x: x <> '') AS ls FROM b)""")
 def fallback(spark, d):
     x = table(spark, d, "pages").select("page_id", h.fallback_candidate(F.col("html")).alias("f"))
-    return x.select("page_id", "f.title", "f.confidence")
+    return x.select("page_id", "f.title", "f.confidence", F.sha1("f.text").alias("text_sha1"))
 
 
 @query("url_normalize", r"""

@@ -384,24 +384,42 @@ def test_conversations_are_packed_whole(spark):
 def test_link_graph_ranks(spark):
     pages = [(i, f"http://{h}/", "".join(f"<a href='http://{x}/'>" for x in to)) for i, (h, to) in enumerate([("good.example.org", ["a.com", "b.com"]), ("a.com", ["b.com"]), ("b.com", ["a.com", "bad.net"]), ("spam.net", ["bad.net"]), ("lone.net", [])])]
     df = spark.createDataFrame(pages, "page_id bigint, url string, html string")
-    s = link_graph.Settings(trusted=("good.example.org",), blocked=("bad.net",), rounds=25)
-    edges = {(r.src, r.dst): r.weight for r in link_graph.host_edges(df).collect()}
+    s = link_graph.Settings(trusted=("good.example.org",), blocked=("bad.net",), tolerance=0.05)
+    edges = {(r.src, r.dst): r.weight for r in link_graph.host_edges(link_graph.page_links(df)).collect()}
     hosts = sorted({x for e in edges for x in e} | {"lone.net"})
-    rows = {r.host: r for r in link_graph.host_decisions(df, s).collect()}
+    rows = {r.host: r for r in link_graph.host_decisions(link_graph.page_links(df), s).collect()}
     assert set(rows) == set(hosts)
     for name, seeds, flip in (("trust", s.trusted, False), ("distrust", s.blocked, True)):
         g = {((b, a) if flip else (a, b)): w for (a, b), w in edges.items()}
         out = {h: sum(w for (a, _), w in g.items() if a == h) for h in hosts}
         seed = {h: (h in seeds) / len(seeds) for h in hosts}
+        mass = {h: (1 - s.damping) * seed[h] for h in hosts}
+        total = dict(mass)
+        for _ in range(s.rounds()):  # what is passed on, added up
+            mass = {h: s.damping * sum(mass[a] * w / out[a] for (a, b), w in g.items() if b == h) for h in hosts}
+            total = {h: total[h] + mass[h] for h in hosts}
+        assert sum(mass.values()) * s.damping / (1 - s.damping) <= s.tolerance
         rank = dict(seed)
-        for _ in range(s.rounds):
+        for _ in range(400):  # the rank itself
             stuck = sum(rank[h] for h in hosts if not out[h])
             rank = {h: (1 - s.damping + s.damping * stuck) * seed[h] + s.damping * sum(rank[a] * w / out[a] for (a, b), w in g.items() if b == h) for h in hosts}
         for h in hosts:
-            assert getattr(rows[h], name) == pytest.approx(rank[h], abs=1e-9)
+            assert getattr(rows[h], name) == pytest.approx(total[h] / sum(total.values()), abs=1e-9)
+            assert getattr(rows[h], name) == pytest.approx(rank[h], abs=s.tolerance)
     assert not rows["spam.net"].keep and rows["good.example.org"].keep and rows["lone.net"].keep
 
 
+def test_link_graph_says_when_no_seed_matches(spark):
+    import warnings
+
+    link_of = lambda *hosts: link_graph.page_links(spark.createDataFrame([(k, f"http://{h}/", "") for k, h in enumerate(hosts)], "page_id bigint, url string, html string"))
+    with pytest.warns(UserWarning, match="no host matches the seeds of distrust"):
+        link_graph.host_decisions(link_of("a.example.org", "b.example.com"))
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", UserWarning)
+        link_graph.host_decisions(link_of("a.example.org", "b.example.net"))
+
+
 @pytest.mark.parametrize("lacing", [0, 1, 2, 3])
 @pytest.mark.parametrize("unknown", [False, True])
 def test_matroska_round_trip(lacing, unknown):

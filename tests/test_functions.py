@@ -161,7 +161,11 @@ def test_html():
     assert [x for _, x in html.block_lines(page)] == ["# A", "one", "two x", "- a", "  - b", "- c", "TABLE: C", "HEAD: a | b", "1 | 2", "k: v"]
     ld = html.jsonld_best('<script type="application/ld+json">{"@type":"Product","name":"Kubek","offers":{"price":"19.99","priceCurrency":"PLN"}}</script>')
     assert (ld["score"], ld["confidence"], ld["text"], ld["price"], ld["currency"]) == (1.0, 1.0, "# Kubek\nCena: 19.99 PLN", 19.99, "PLN")
-    assert html.main_price('<span class="price">rata 10 zł</span><b data-price="5"></b>') == "5"
+    assert html.price_texts('<span class="price">rata 10 zł</span><b data-price="5">rata 1 zł</b><i class="price">7 zł</i>') == ["5", "7 zł"]
+    assert html.container_score("<div><p>a<p>b</div>") is None
+    page = "<main><h1>T</h1>" + "<div>" * 3 + "<p>x y<br>z</p>" * 4 + "<script>no</script></div></div></div></main>"
+    text = "T" + "x y z" * 4
+    assert html.container_score(page) == {"tag": "main", "score": pytest.approx(len(text) / 8000 + 0.2 + 0.1), "text": text}
 
 
 def test_html_expressions(spark):
