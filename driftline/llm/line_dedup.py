@@ -178,7 +178,7 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFram
     """``docs`` without repeated lines; a document left without any goes.
 
     The other columns stay as they are, but n_chars, where there is one, is
-    counted again.  Documents that had no text to begin with stay.
+    counted again (a null text keeps its own).  Documents that had no text to begin with stay.
     """
     names = docs.columns
     row = F.struct(*[F.col(f"`{c}`") for c in names])
@@ -191,7 +191,7 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFram
     apply = F.arrow_udf(_apply, "string")
     j = j.select("row", F.when(F.col("keep_bitmap").isNull(), F.col("row.text")).otherwise(apply("row.text", "keep_bitmap")).alias("new"))
     j = j.where((F.col("row.text").isNull()) | (F.col("row.text") == "") | (F.trim("new") != ""))
-    cols = [F.col("new").alias(c) if c == "text" else F.length("new").cast("bigint").alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c) for c in names]
+    cols = [F.col("new").alias(c) if c == "text" else F.coalesce(F.length("new").cast("bigint"), F.col(f"row.`{c}`").cast("bigint")).alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c) for c in names]
     return j.select(*cols)
 
 

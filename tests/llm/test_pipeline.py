@@ -16,8 +16,7 @@ PROSE = "The river was low in the summer and the people of the village walked to
 @pytest.fixture(scope="module")
 def table(spark, tmp_path_factory):
     """Documents of every awkward kind, and a folder that holds them."""
-    words = [f"{w}{i}" for i in range(40) for w in ("stone", "water", "field")]
-    near = " ".join(words)
+    near = " ".join(f"The stone{i} of the village was in the field{i}, and the people walked to the water{i} in the summer." for i in range(20))
     rows = [
         (1, PROSE * 3 + "\nshared line of a good length", "en"),
         (2, "something of its own in here\nshared line of a good length", "en"),
