@@ -21,10 +21,12 @@ from __future__ import annotations
 
 import math
 import warnings
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.llm.common import cut, read
@@ -72,6 +74,22 @@ def host_edges(linked: DataFrame) -> DataFrame:
     return links.unionByName(both).where("src <> dst").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
+@contextmanager
+def planned_once(spark: SparkSession) -> Iterator[None]:
+    """Plans made and run in here are not planned again after each of their stages.
+
+    In a loop of many small stages that would fill the driver's memory with
+    plans, and nothing is won where the partitions are in place already.
+    """
+    key = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def personalised_ranks(hosts: DataFrame, edges: DataFrame, s: Settings) -> DataFrame:
     """side, host, rank: the personalised ranks of all sides in one loop.
 
@@ -79,23 +97,26 @@ def personalised_ranks(hosts: DataFrame, edges: DataFrame, s: Settings) -> DataF
     side, src, dst, share (of the source's mass).  Each round passes on the mass
     that came in the round before and adds it up; what hosts without edges would
     give back to the seeds is the same for all hosts as scaling the sums to 1.
-    The edges are put in place once; a round shuffles sums by host only.
+    The edges are put in place once; a round shuffles sums by host only and
+    broadcasts nothing.
     """
     spark = hosts.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     own = hosts.select("side", F.col("host").alias("src"), F.lit(None).cast("string").alias("dst"), F.lit(0.0).alias("share"))  # keeps a host's sum
-    placed = edges.unionByName(own).repartition(n, "side", "src").persist(StorageLevel.MEMORY_AND_DISK)
+    placed = edges.unionByName(own).repartition(n, "side", "src")
     start = F.lit(1 - s.damping) * F.col("seed")
     state = hosts.select("side", "host", start.alias("came"), start.alias("total"))
-    for i in range(s.rounds()):
-        at = state.withColumnsRenamed({"side": "__side", "host": "__host"})
-        met = placed.join(at, (F.col("side") == F.col("__side")) & (F.col("src") == F.col("__host")))
-        passed = F.lit(s.damping) * F.col("came") * F.col("share")
-        met = met.select("side", F.coalesce("dst", "src").alias("host"), passed.alias("came"), F.when(F.col("dst").isNull(), F.col("total")).otherwise(passed).alias("total"))
-        state = met.groupBy("side", "host").agg(F.sum("came").alias("came"), F.sum("total").alias("total"))
-        if (i + 1) % s.checkpoint_every == 0:
-            state = cut(state)
-    state = cut(state)
+    with planned_once(spark):  # so that the partitions of what is cut are known
+        placed = cut(placed).persist(StorageLevel.MEMORY_AND_DISK)  # cut: else all rounds' plans hold its own
+        for i in range(s.rounds()):
+            at = state.withColumnsRenamed({"side": "__side", "host": "__host"})
+            met = placed.join(at.hint("shuffle_hash"), (F.col("side") == F.col("__side")) & (F.col("src") == F.col("__host")))
+            passed = F.lit(s.damping) * F.col("came") * F.col("share")
+            met = met.select("side", F.coalesce("dst", "src").alias("host"), passed.alias("came"), F.when(F.col("dst").isNull(), F.col("total")).otherwise(passed).alias("total"))
+            state = met.groupBy("side", "host").agg(F.sum("came").alias("came"), F.sum("total").alias("total"))
+            if (i + 1) % s.checkpoint_every == 0:
+                state = cut(state)
+        state = cut(state)
     placed.unpersist()
     whole = state.groupBy("side").agg(F.sum("total").alias("whole"))  # a row a side
     return state.join(F.broadcast(whole), "side").select("side", "host", F.coalesce(F.try_divide("total", "whole"), F.lit(0.0)).alias("rank"))

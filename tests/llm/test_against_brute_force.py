@@ -420,6 +420,30 @@ def test_link_graph_says_when_no_seed_matches(spark):
         link_graph.host_decisions(link_of("a.example.org", "b.example.net"))
 
 
+def test_link_graph_rounds_have_small_plans(spark, monkeypatch):
+    key, plans, cut = "spark.sql.adaptive.enabled", [], link_graph.cut
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    hosts = spark.createDataFrame([(side, h, float(h == "a")) for side in ("trust", "distrust") for h in "abc"], "side string, host string, seed double")
+    edges = spark.createDataFrame([(side, x, y, 1.0) for side in ("trust", "distrust") for x, y in ("ab", "bc", "ca")], "side string, src string, dst string, share double")
+    s = link_graph.Settings(tolerance=0.3)
+    before = spark.conf.get(key)
+    monkeypatch.setattr(link_graph, "cut", seen)
+    ranks = {(r.side, r.host): r["rank"] for r in link_graph.personalised_ranks(hosts, edges, s).collect()}
+    assert spark.conf.get(key) == before
+    rounds = [p for p in plans if "ShuffledHashJoin" in p]
+    assert sum(p.count("ShuffledHashJoin") for p in rounds) == s.rounds() and len(rounds) > 1
+    assert not any(x in p for p in rounds for x in ("AdaptiveSparkPlan", "BroadcastExchange", "SortMergeJoin"))
+    # a shuffle a round, and one to put the first state in place
+    assert [p.count("Exchange hashpartitioning") for p in rounds] == [p.count("ShuffledHashJoin") + (k == 0) for k, p in enumerate(rounds)]
+    mass = [(1 - s.damping) * s.damping**k for k in range(s.rounds() + 1)]  # goes round the ring
+    for k, h in enumerate("abc"):
+        assert ranks["trust", h] == ranks["distrust", h] == pytest.approx(sum(mass[k::3]) / sum(mass), abs=1e-12)
+
+
 @pytest.mark.parametrize("lacing", [0, 1, 2, 3])
 @pytest.mark.parametrize("unknown", [False, True])
 def test_matroska_round_trip(lacing, unknown):
