@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from driftline.sources.tables import table
+from driftline.sources.tables import BATCH_BYTES, BATCH_ROWS, bounded_batches, table  # noqa: F401
 
 TOKENIZER_DIR = "/opt/tokenizers"
 BPE_RANKS = f"{TOKENIZER_DIR}/byte_bpe_50k.tiktoken"
@@ -21,26 +21,7 @@ PIECE_MODEL = f"{TOKENIZER_DIR}/piece_bpe_32k.model"
 BPE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-#: Arrow batches of texts: so many rows and bytes at most (a longer text alone).
-BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
-
-
-def bounded_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small enough that a task's texts never pile up in memory.
-
-    Sets the session's limits, which hold for the plans it makes from now on;
-    a lower limit that someone has set stays.
-    """
-    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
-        key = f"spark.sql.execution.arrow.{key}"
-        now = spark.conf.get(key, None)
-        now = int(now) if now and now.lstrip("-").isdigit() else 0
-        if not 0 < now <= most:
-            spark.conf.set(key, str(most))
-
-
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    bounded_batches(spark)
     return table(spark, sf_dir, name)
 
 
