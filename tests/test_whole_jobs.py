@@ -95,7 +95,7 @@ def test_judge_answer(run):
 
 
 #: Queries that hand texts to Python.
-PYTHON = ["chunk_pack"]
+PYTHON = ["chunk_pack", "extractor_choose", "clean_lines_ocr", "clean_lines_dom", "extract_or_blocked", "dedupe_sliding", "change_pipeline", "split_and_wrap"]
 
 
 @pytest.mark.parametrize("name", PYTHON)
